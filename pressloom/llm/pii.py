@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A key for examples and tests; a deployment passes its own.
+EXAMPLE_KEY = "pressloom-example-key"
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Herr|Frau|Señor|Señora|Sra|Monsieur|Madame|Mme|Г-н|Г-жа|Господин|Госпожа|Κύριος|Κυρία"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {

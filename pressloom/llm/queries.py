@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, quality, simhash, substrings, urlfilter, vectors
+from . import bpe, langid, packing, pii, quality, simhash, substrings, urlfilter, vectors, warc
 from .common import read
 
-#: The key of the surrogates; a deployment passes its own.
-KEY = "pressloom-example-key"
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(read(spark, sf_dir, "documents"))
 
@@ -35,6 +31,10 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_components(read(spark, sf_dir, "embeddings"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read(spark, sf_dir, "documents"))
 
@@ -48,7 +48,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymised(read(spark, sf_dir, "documents"), KEY)
+    return pii.anonymised(read(spark, sf_dir, "documents"), pii.EXAMPLE_KEY)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_substrings, op3_urlfilter, op4_packing, op5_vectors, op7_quality, op8_langid, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_substrings, op3_urlfilter, op4_packing, op5_vectors, op6_warc, op7_quality, op8_langid, op9_pii, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -101,7 +101,5 @@ def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = near_components(docs.select("doc_id", "text"), words)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     kept = docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
-    names = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.col("text")).alias("__row"), F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__any"))
-    one = one.select("doc_id", F.coalesce("__row", "__any").alias("__row")).select("doc_id", *[F.col("__row").getField(c).alias(c) for c in names])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+    kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__rank = 1").drop("__rank")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
