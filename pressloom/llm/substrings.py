@@ -379,11 +379,11 @@ def marked(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def removed(raw: np.ndarray, marks: list[bytes] | None) -> np.ndarray:
-    steps = np.zeros(len(raw) + 1, np.int32)
-    for data in marks or []:
-        start, length = (x.astype(np.int64) for x in unblob(data, *MARK)[:-1])
-        steps += np.bincount(start, minlength=len(steps)).astype(np.int32)
-        steps -= np.bincount(start + length, minlength=len(steps)).astype(np.int32)
+    parts = [unblob(data, *MARK) for data in marks or []]
+    if not parts:
+        return np.zeros(len(raw), bool)
+    start, length = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(2))
+    steps = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + length, minlength=len(raw) + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
