@@ -76,7 +76,7 @@ class Lexicon:
 
     @classmethod
     def default(cls) -> Lexicon:
-        """The built-in Spanish lexicon for press coverage of violence against women."""
+        """A small built-in example in Spanish; a deployment passes its own YAML files."""
         groups = {}
         for line in resources.files("pressloom").joinpath("data/lexicon.txt").read_text("utf-8").splitlines():
             if line and not line.startswith("#"):

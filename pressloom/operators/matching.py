@@ -7,23 +7,27 @@ no group matches has no windows at all.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicon import Lexicon, alternation, pattern_of
+from ..functions.lexicon import Lexicon, alternation, pattern_of, plain
+from ..functions.text import let
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def matches(normalized: Column, terms: Iterable[str]) -> Column:
+    """Whether one of the terms is in a normalized text, at word borders; the expression is only tried where the bare letters occur."""
+    bare = reduce(lambda a, b: a | b, [normalized.contains(t) for t in sorted({plain(t) for t in terms})])
+    return bare & normalized.rlike(alternation(set(terms)))
 
 
-def groups_in(normalized: Column, lexicon: Lexicon) -> Column:
-    """The names of the groups with a term in a normalized text."""
-    found = [F.when(normalized.rlike(alternation(terms)), g) for g, terms in sorted(lexicon.groups.items()) if terms]
+def groups_in(normalized: Column, lexicon: Lexicon, within: Column | None = None) -> Column:
+    """The names of the groups with a term in a normalized text; only those of ``within`` are looked for, if given."""
+    known = lambda g: F.array_contains(within, g) if within is not None else F.lit(True)
+    found = [F.when(known(g) & matches(normalized, terms), g) for g, terms in sorted(lexicon.groups.items()) if terms]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
@@ -33,13 +37,16 @@ def terms_in(normalized: Column, lexicon: Lexicon) -> Column:
     for g, terms in lexicon.groups.items():
         if terms:
             hits = F.array_compact(F.array(*[F.when(normalized.rlike("(?U)" + pattern_of(t)), t) for t in sorted(set(terms))]))
-            entries.append(F.struct(F.lit(g).alias("key"), F.when(normalized.rlike(alternation(terms)), hits).otherwise(F.array().cast("array<string>")).alias("value")))
+            entries.append(F.struct(F.lit(g).alias("key"), F.when(matches(normalized, terms), hits).otherwise(F.array().cast("array<string>")).alias("value")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0)) if entries else F.map_from_entries(F.array().cast("array<struct<key:string,value:array<string>>>"))
 
 
-def windows(text: Column, lexicon: Lexicon) -> Column:
-    """array<struct<window_id, window_text, norm, groups>>: the windows with a match, page furniture skipped; ids count all windows."""
-    entry = lambda w, i: let(X.normalize(w), lambda n: F.struct(i.alias("window_id"), F.substring(w, 1, 500).alias("window_text"), n.alias("norm"), F.when(X.is_furniture(n), F.array().cast("array<string>")).otherwise(groups_in(n, lexicon)).alias("groups")))
+def windows(text: Column, lexicon: Lexicon, within: Column | None = None) -> Column:
+    """array<struct<window_id, window_text, norm, groups>>: the windows with a match, page furniture skipped; ids count all windows.
+
+    ``within`` are the groups of the whole text, which those of a window are among.
+    """
+    entry = lambda w, i: let(X.normalize(w), lambda n: F.struct(i.alias("window_id"), F.substring(w, 1, 500).alias("window_text"), n.alias("norm"), F.when(X.is_furniture(n), F.array().cast("array<string>")).otherwise(groups_in(n, lexicon, within)).alias("groups")))
     all_windows = let(X.sentences(text), X.sentence_windows)
     return F.filter(F.transform(all_windows, entry), lambda w: F.size(w["groups"]) > 0)
 

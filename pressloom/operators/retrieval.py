@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.lexicon import Lexicon, alternation, plain
-from .matching import combo, groups_in, has, let, terms_in, windows
+from ..functions.lexicon import Lexicon, plain
+from .matching import combo, groups_in, has, matches, terms_in, windows
 
 FEMALE = ("female_reference_terms.gendered_phrases", "female_reference_terms.strong")
 DEATH = "indirect_terms.victim_death_phrases."
@@ -37,7 +37,7 @@ def matched(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",)) -
     df = df.withColumn("__text", text).withColumn("__norm", X.normalize(F.col("__text")))
     df = df.withColumn("__groups", groups_in(F.col("__norm"), lexicon))
     empty = F.array().cast("array<struct<window_id:int,window_text:string,norm:string,groups:array<string>>>")
-    return df.withColumn("__windows", F.when(F.size("__groups") > 0, windows(F.col("__text"), lexicon)).otherwise(empty))
+    return df.withColumn("__windows", F.when(F.size("__groups") > 0, windows(F.col("__text"), lexicon, F.col("__groups"))).otherwise(empty))
 
 
 def label_of(score: Column, thresholds: dict[str, int]) -> Column:
@@ -54,7 +54,7 @@ def male_victim(window_text: Column) -> Column:
 def explicit(norm: Column, lexicon: Lexicon) -> Column:
     """Whether one of the most explicit direct terms is in the text."""
     terms = [t for t in lexicon.terms("direct_terms.high_precision") if any(m in plain(t) for m in MOST_EXPLICIT)]
-    return norm.rlike(alternation(set(terms))) if terms else F.lit(False)
+    return matches(norm, terms) if terms else F.lit(False)
 
 
 def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), show_terms: bool = True) -> DataFrame:
