@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,53 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def block_pairs(dealt: DataFrame, bucket: list[str], node: str, block: int) -> DataFrame:
+    """Deals the members of each bucket out to pairs of its blocks, so that any two of them meet in one group.
+
+    Adds ``group`` (long) and ``side``: 2 in a block that meets itself, 0 and 1
+    on the left and right side of two that meet. A bucket of any size is cut
+    into blocks of some ``block`` rows; buckets of one are left out.
+    """
+    full = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("__blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    placed = dealt.join(full, bucket).withColumn("__b", F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.struct(F.least("__b", o).alias("i"), F.greatest("__b", o).alias("j"), F.when(o == F.col("__b"), 2).when(F.col("__b") < o, 0).otherwise(1).alias("side")))
+    return placed.withColumn("__p", F.explode(met)).withColumns({"group": F.xxhash64(*bucket, "__p.i", "__p.j"), "side": F.col("__p.side")}).drop("__blocks", "__b", "__p")
+
+
+def grouped_batches(batches, then):
+    """``then(tables)`` for each run of equal ``group`` values in a stream of record batches; yields what it returns, once a batch."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        group = t.column("group").to_numpy()
+        cuts = runs(group)
+        out = []
+        for x, y in zip(cuts, cuts[1:]):
+            if held and group[x] != last:
+                out += then(held)
+                held = []
+            held.append(t.slice(x, y - x))
+            last = group[x]
+        yield out
+    if held:
+        yield then(held)
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Links that join what the pairs join."""
+    parent, out = list(range(n)), []
+    for a, b in zip(i.tolist(), j.tolist()):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return out
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the length at the end."""
     if not len(keys):

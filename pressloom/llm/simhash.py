@@ -12,6 +12,16 @@ is done. The rest are linked without emitting the pairs of a bucket: each
 fingerprint names itself and its 64 one-bit neighbours, and those naming a
 common word are within two bits of each other; a word has at most 65 names.
 
+``similar_groups`` finds texts whose sets of shingles are similar, down to a
+Jaccard similarity of 0.8, which is far beyond two bits. Its fingerprints have
+256 bits and link where they differ in so few that a pair at the similarity
+sought does with 97 % (``widest``). Their first bits are cut into ``STRIPES``
+stripes with covering masks each: a stripe of ``d`` dimensions has ``2^d - 1``
+tables and misses no pair with less than ``d`` differing bits in it, so no pair
+with less than ``d * STRIPES`` in all; pairs at the similarity sought share a
+table with 98 %, closer ones with more. A bucket of any size is cut into blocks
+that are compared two by two; tasks return a spanning forest, never pairs.
+
 Defined results: a null or word-less text has fingerprint zero, linked like any
 other; a null ``doc_id`` has a fingerprint, but takes no part in links and its
 component is null; repeated ``doc_id`` rows each get a row; further columns are
@@ -20,34 +30,70 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import block_pairs, components, forest, grouped_batches, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
+#: The wide fingerprint's 64-bit parts, its stripes, and rows of a block.
+LANES, STRIPES, ROWS = 4, 7, 4096
+_ODD = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 ONE_BITS = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 BLOCK = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the word shingles, repeats included, as an unsigned integer."""
+def shingle_hashes(text: str | None, words: int):
+    """XXH64 of the word shingles, repeats included, in blocks; nothing for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return
     joined, n = b" ".join(found), max(1, len(found) - words + 1)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     begins = (ends - lengths)[:n].tolist()
     ends = ends[min(words, len(found)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(begins[at : at + BLOCK], ends[at : at + BLOCK])], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(begins[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64)
+
+
+def majority(hashes) -> np.ndarray:
+    """The bits set in over half of the hashes, given as blocks of rows of 64-bit numbers; as numbers."""
+    ones, n, lanes = None, 0, 1
+    for h in hashes:
+        lanes = 1 if h.ndim == 1 else h.shape[1]
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
+        ones = bits.sum(0, dtype=np.int64) + (0 if ones is None else ones)
+        n += len(h)
+    return np.zeros(lanes, np.uint64) if ones is None else np.packbits(ones * 2 > n).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of the word shingles, repeats included, as an unsigned integer."""
+    return int(majority(shingle_hashes(text, words))[0])
+
+
+def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
+    """SimHash of ``LANES`` times 64 bits over the distinct word shingles, the least one twice where their number is even."""
+
+    def lanes():
+        parts = list(shingle_hashes(text, words))
+        h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        h = np.append(h, h[: (len(h) + 1) % 2])  # an odd number leaves no bit undecided
+        for at in range(0, len(h), BLOCK >> 2):
+            x = h[at : at + (BLOCK >> 2), None] * np.array(_ODD)
+            x ^= x >> np.uint64(31)
+            x *= _ODD[2]
+            yield x ^ (x >> np.uint64(29))
+
+    found = majority(lanes())
+    return found if len(found) == LANES else np.zeros(LANES, np.uint64)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -93,12 +139,87 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of ``docs`` for each component, the one with the least ``doc_id``; rows without ``doc_id`` stay.
+def widest(similarity: float) -> int:
+    """Differing bits of the wide fingerprint up to which texts link: what 97 % of the pairs at a Jaccard similarity do not exceed."""
+    bits = 64 * LANES
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 1.88 * math.sqrt(bits * p * (1 - p)))
+
+
+def dimensions(n: int) -> int:
+    """Dimensions of a stripe for n fingerprints: three, and one more for each 2.7 bits beyond 2^22, so that buckets stay small."""
+    return 3 + max(0, math.ceil((math.log2(max(1, n)) - 22) / 2.7))
+
+
+def stripe_keys(wide: np.ndarray, d: int) -> np.ndarray:
+    """The keys of fingerprints (rows) in all tables: the bits of each stripe under each of its masks."""
+    width = min(64 * LANES // STRIPES, round(6.25 * d))
+    bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
+    places = 1 << np.arange(width, dtype=np.int64)
+    masks = np.array([sum(1 << i for i in range(width) if bin((i % (2**d - 1) + 1) & v).count("1") % 2) for v in range(1, 2**d)], np.int64)
+    stripes = [bits[:, k * width : (k + 1) * width].astype(np.int64) @ places for k in range(STRIPES)]
+    return np.hstack([x[:, None] & masks for x in stripes])
+
+
+def similar_links(rows: list[pa.Table], most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one block, or between two."""
+    t = pa.concat_tables(rows)
+    side, node = (t.column(c).to_numpy() for c in ("side", "node"))
+    wide = np.stack([t.column(f"w{k}").to_numpy() for k in range(LANES)], 1).view(np.uint64)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    found: list[tuple[int, int]] = []
+    for at in range(0, len(left), 256):
+        own = left[at : at + 256]
+        far = np.zeros((len(own), len(right)), np.uint16)
+        for k in range(LANES):
+            far += np.bitwise_count(wide[own, k][:, None] ^ wide[right, k][None, :])
+        i, j = np.nonzero(far <= most)
+        i, j = own[i], right[j]
+        found += forest(i[i != j], j[i != j], len(t))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return [(int(node[x]), int(node[y])) for x, y in forest(a, b, len(t))]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs``; texts without a word form one group."""
+
+    def prints(batches):
+        for b in batches:
+            w = np.array([wide_fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)]], ["doc_id", *lanes])
+
+    lanes = [f"w{k}" for k in range(LANES)]
+    of = ", ".join(f"{c} long" for c in lanes)
+    wide = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, f"doc_id long, {of}"))
+    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*lanes).agg(F.min("doc_id").alias("node")))
+    d, most = dimensions(known.count()), widest(similarity)
+
+    def keys(batches):
+        for b in batches:
+            x = np.stack([b.column(k + 1).to_numpy() for k in range(LANES)], 1).view(np.uint64)
+            k = stripe_keys(x, d)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.int64()))], ["node", *lanes, "keys"])
+
+    def compare(batches):
+        for out in grouped_batches(batches, lambda held: similar_links(held, most)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    dealt = known.select("node", *lanes).mapInArrow(keys, f"node long, {of}, keys array<long>").select("node", *lanes, F.posexplode("keys").alias("t", "key"))
+    met = block_pairs(dealt, ["t", "key"], "node", ROWS).select("group", "side", "node", *lanes)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    links = met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    roots = components(links)
+    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    named = known.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
+    return wide.join(named, lanes, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts, the one with the least ``doc_id``; rows without ``doc_id`` stay.
 
     Of rows that repeat a ``doc_id`` one stays, the first by text.
     """
-    found = near_components(docs.select("doc_id", "text"), words)
+    found = similar_groups(docs.select("doc_id", "text"), words, similarity)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     kept = docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
     kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__rank = 1").drop("__rank")

@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored
 
 LENGTH, GRAM = 100, 24
-CHUNK, BLOCK = 1 << 20, 1 << 22
+CHUNK, BLOCK = 1 << 20, 1 << 20
 #: Distinct segments of one anchor, in a chunk and in a bucket, beyond which its windows are dealt by themselves.
 HOT_IN_CHUNK, HOT_IN_BUCKET = 16, 2048
-#: Windows in a batch of a family; bytes of text for one bucket.
-BATCH, BUCKET = 1 << 15, 24 << 20
+#: Windows in a batch of a family, windows beyond which a bucket's next family begins, parts of a bucket; bytes of text for one bucket.
+BATCH, FAMILY, PARTS, BUCKET = 1 << 15, 1 << 17, 256, 24 << 20
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -240,7 +240,8 @@ def send_windows(chunk: int, data: bytes, asked: list[tuple[str, bytes]], bucket
             to = (anchor % np.uint64(buckets)).astype(np.int64)
             for bucket in np.unique(to).tolist():
                 own = np.flatnonzero(to == bucket)
-                head = np.array([len(own)], "<u8").tobytes() + b"".join(x[own].tobytes() for x in (start.astype("<u4"), windows.astype("<u1"), doc.astype("<i8")))
+                part = (anchor[own] >> np.uint64(40)) % np.uint64(PARTS)
+                head = np.array([len(own)], "<u8").tobytes() + b"".join(x.tobytes() for x in (start[own].astype("<u4"), windows[own].astype("<u1"), doc[own].astype("<i8"), part.astype("<u1")))
                 text = b"".join([view[a:b] for a, b in zip(start[own].tolist(), (start[own] + windows[own] + LENGTH - 1).tolist())])
                 rows.append(("A", bucket, chunk, zstandard.ZstdCompressor(level=1).compress(head + text)))
             continue
@@ -311,28 +312,55 @@ def resolve_windows(texts: list[tuple], prints: list[tuple]) -> list[tuple]:
         old[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         out += by_chunk("M", chunk[old], at[old], np.full(old.sum(), LENGTH, "<u4"))
     if texts:
-        parts = [unblob(data, "<u4", "<u1", "<i8") for _, data in texts]
+        parts = [unblob(data, "<u4", "<u1", "<i8", "<u1") for _, data in texts]
         chunk = np.repeat(np.array([c for c, _ in texts], np.int64), [len(p[0]) for p in parts])
-        start, sizes, doc = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
-        raw = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+        start, sizes, doc, part = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+        raw = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         begin = np.concatenate(([0], np.cumsum(sizes + LENGTH - 1)))[:-1]
-        order = np.lexsort((start, chunk, doc))
-        cuts = np.searchsorted(np.cumsum(sizes[order]), np.arange(BATCH, sizes.sum() + BATCH, BATCH)).tolist()
-        family, marked = Family(), []
-        for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(order)]):
-            own = order[a:b]
-            if not len(own):
-                continue
-            text = np.concatenate([raw[x : x + n + LENGTH - 1] for x, n in zip(begin[own].tolist(), sizes[own].tolist())])
-            old = ~family.add(windows_of(text, sizes[own]))
-            where = np.repeat(own, sizes[own])[old]
-            step = (np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own]))[old]
-            marked.append((where, step))
-        where, step = (np.concatenate(x) for x in zip(*marked))
-        out += by_chunk("M", chunk[where], (start[where] + step).astype("<u4"), np.full(len(where), LENGTH, "<u4"))
+        order = np.lexsort((start, chunk, doc, part))
+        for own in families(order, part, sizes):
+            old = repeated(own, begin, sizes, raw)
+            where, first, n = old_runs(own, sizes, old)
+            out += by_chunk("M", chunk[where], (start[where] + first).astype("<u4"), (n + LENGTH - 1).astype("<u4"))
     return out
 
 
+def families(order: np.ndarray, part: np.ndarray, sizes: np.ndarray):
+    """The segments in order, cut where a part ends and ``FAMILY`` windows are full: segments of one anchor stay together."""
+    ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+    windows = np.cumsum(sizes[order])
+    at = 0
+    for end in ends.tolist():
+        if windows[end - 1] - (windows[at - 1] if at else 0) >= FAMILY or end == len(order):
+            yield order[at:end]
+            at = end
+
+
+def repeated(own: np.ndarray, begin: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Which windows of the segments, in order, are seen earlier; a batch at a time through one family."""
+    family, out = Family(), []
+    cuts = np.searchsorted(np.cumsum(sizes[own]), np.arange(BATCH, sizes[own].sum() + BATCH, BATCH)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+        some = own[a:b]
+        if len(some):
+            text = np.concatenate([raw[x : x + n + LENGTH - 1] for x, n in zip(begin[some].tolist(), sizes[some].tolist())])
+            out.append(~family.add(windows_of(text, sizes[some])))
+    return np.concatenate(out)
+
+
+def old_runs(own: np.ndarray, sizes: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, windows) of the runs of old windows inside a segment."""
+    firsts = np.cumsum(sizes[own]) - sizes[own]
+    opens = old.copy()
+    opens[1:] &= ~old[:-1]
+    opens[firsts] = old[firsts]
+    starts = np.flatnonzero(opens)
+    ends = old.copy()
+    ends[:-1] &= ~old[1:] | opens[1:]
+    segment = np.searchsorted(firsts, starts, "right") - 1
+    return own[segment], starts - firsts[segment], np.flatnonzero(ends) - starts + 1
+
+
 def exchanged(send: DataFrame, buckets: int, resolve, first: str, second: str) -> DataFrame:
     """Deal what the chunks send to their buckets, resolve there; marks and questions pass through."""
 
@@ -350,7 +378,8 @@ def exchanged(send: DataFrame, buckets: int, resolve, first: str, second: str) -
         if rows := resolve(held[first], held[second]):
             yield sent(rows)
 
-    dealt = send.repartition(buckets, F.when(F.col("kind").isin(first, second), F.col("bucket")).otherwise(F.col("chunk")))
+    # a bucket is a partition, so a task holds one at most
+    dealt = send.repartitionById(buckets, F.when(F.col("kind").isin(first, second), F.col("bucket")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")))
     return dealt.mapInArrow(run, SENT)
 
 

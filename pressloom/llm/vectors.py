@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, runs, stored
+from .common import block_pairs, components, forest, grouped_batches, stored
 
 THRESHOLD, RECALL, BLOCK, SMALL, SEED = 0.98, 0.999, 1024, 256, 11
 
@@ -88,20 +88,6 @@ class Coded:
         return i[sure], j[sure]
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that join what the pairs join."""
-    parent, out = list(range(n)), []
-    for a, b in zip(i.tolist(), j.tolist()):
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        while parent[b] != b:
-            parent[b] = b = parent[parent[b]]
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((a, b))
-    return out
-
-
 def compare(rows: list[pa.Table], threshold: float):
     """Counts and links of one block pair: (node, other, n) with other null for a count."""
     t = pa.concat_tables(rows)
@@ -144,30 +130,12 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     keyed = stored(vectors.select("node", "v").mapInArrow(key, "node long, keys array<long>").join(vectors, "node").select("node", "label", F.size("v").alias("d"), "m", "v", "keys"))
     dealt = keyed.select("node", "label", "d", F.posexplode("keys").alias("t", "key"))
-    full = dealt.groupBy("label", "d", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    placed = dealt.join(full, ["label", "d", "t", "key"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block b meets itself and every other: as the left side of pairs (b, j), j > b, the right side of (i, b), i < b
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), F.when(o == F.col("b"), 2).when(F.col("b") < o, 0).otherwise(1).alias("side")))
-    pairs = placed.select("node", "t", "label", "d", "key", F.explode(met).alias("p")).select("node", "t", F.xxhash64("label", "d", "t", "key", "p.bi", "p.bj").alias("group"), "p.side")
+    pairs = block_pairs(dealt, ["label", "d", "t", "key"], "node", BLOCK).select("node", "t", "group", "side")
     wide = pairs.join(keyed.select("node", "m", "v", "keys"), "node")
 
     def run(batches):
-        held: list[pa.Table] = []
-        last = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            group = t.column("group").to_numpy()
-            cuts = runs(group)
-            out = []
-            for x, y in zip(cuts, cuts[1:]):
-                if held and group[x] != last:
-                    out += compare(held, threshold)
-                    held = []
-                held.append(t.slice(x, y - x))
-                last = group[x]
+        for out in grouped_batches(batches, lambda held: compare(held, threshold)):
             yield told(out)
-        if held:
-            yield told(compare(held, threshold))
 
     told = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["node", "other", "n"])
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
