@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies; word shingles of five, as no contract sets fewer here."""
-    return simhash.deduplicate(docs, words=5)
+    """Keeps one document of each group of near copies: a similarity of 0.8 or more on shingles of five words."""
+    return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
