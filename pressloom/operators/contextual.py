@@ -191,8 +191,8 @@ def derived(bucket: Column, label: Column, level: Column) -> dict[str, Column]:
 def classify(df: DataFrame, lexicon: Lexicon, title: tuple[str, ...] = TITLES, body: tuple[str, ...] = BODIES, show_terms: bool = True) -> DataFrame:
     """Adds the contextual columns to rows with a ``retrieval_bucket``; without that column no row counts as a case."""
     df = matched(df, lexicon, title, body)
-    label, terms = explicit_label(F.col("__norm"), lexicon)
-    df = df.withColumns({"explicit_label_type": label, "explicit_label_terms": terms, "__e": evidence(F.col("__windows"), lexicon)})
+    label, terms = explicit_label(F.col("__m.norm"), lexicon)
+    df = df.withColumns({"explicit_label_type": label, "explicit_label_terms": terms, "__e": evidence(F.col("__m.windows"), lexicon)})
     df = df.withColumn("__best", F.coalesce(F.array_max(F.transform("__e", lambda e: e["level"])), F.lit(0)))
     # at no level at all, what was ruled out stays visible
     df = df.withColumn("__d", F.filter("__e", lambda e: (e["level"] == F.col("__best")) & ((F.col("__best") > 0) | (F.size(e["reasons"]) > 0))))
@@ -219,4 +219,4 @@ def classify(df: DataFrame, lexicon: Lexicon, title: tuple[str, ...] = TITLES, b
     df = df.withColumns(derived(bucket, F.col("explicit_label_type"), F.col("contextual_evidence_level")))
     if show_terms:
         df = df.withColumns({f"{c}_json": F.to_json(c) for c in ("explicit_label_terms", "contextual_reasons", "contextual_all_reasons", "contextual_violence_types", "contextual_evidence")})
-    return df.drop("__text", "__norm", "__groups", "__windows", "__e", "__best", "__d", "__way")
+    return df.drop("__m", "__e", "__best", "__d", "__way")

@@ -1,14 +1,14 @@
 """Lexicon matching in texts and sentence windows.
 
-Each window carries the names of the groups it matches, by one alternation for
-each group; single terms are only looked for where they are shown. A text that
-no group matches has no windows at all.
+Each window carries the names of the groups it matches: only groups that the
+whole text matches are tried, by bare letters first and then by one expression
+for each group; single terms are only looked for where they are shown. A text
+that no group matches has no windows at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,44 +17,62 @@ from ..functions import text as X
 from ..functions.lexicon import Lexicon, alternation, pattern_of, plain
 from ..functions.text import let
 
+WINDOWS = "array<struct<window_id:int,window_text:string,norm:string,groups:array<string>>>"
+TERMS = "array<struct<key:string,value:array<string>>>"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """A constant array; one literal for the optimizer to fold, however many values."""
+    joined = "\x1f".join(values)
+    return F.split(F.lit(joined), "\x1f") if joined else F.array().cast("array<string>")
+
 
 def matches(normalized: Column, terms: Iterable[str]) -> Column:
     """Whether one of the terms is in a normalized text, at word borders; the expression is only tried where the bare letters occur."""
-    bare = reduce(lambda a, b: a | b, [normalized.contains(t) for t in sorted({plain(t) for t in terms})])
-    return bare & normalized.rlike(alternation(set(terms)))
+    return let(normalized, lambda n: F.exists(strings(sorted({plain(t) for t in terms})), lambda t: n.contains(t)) & n.rlike(alternation(set(terms))))
 
 
 def groups_in(normalized: Column, lexicon: Lexicon, within: Column | None = None) -> Column:
     """The names of the groups with a term in a normalized text; only those of ``within`` are looked for, if given."""
     known = lambda g: F.array_contains(within, g) if within is not None else F.lit(True)
-    found = [F.when(known(g) & matches(normalized, terms), g) for g, terms in sorted(lexicon.groups.items()) if terms]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    found = lambda n: F.array_compact(F.array(*[F.when(known(g) & matches(n, terms), g) for g, terms in sorted(lexicon.groups.items()) if terms]).cast("array<string>"))
+    return let(normalized, found)
 
 
 def terms_in(normalized: Column, lexicon: Lexicon) -> Column:
     """map<group, array<term>>: the terms in a normalized text, in order; groups without one are left out."""
-    entries = []
-    for g, terms in lexicon.groups.items():
-        if terms:
-            hits = F.array_compact(F.array(*[F.when(normalized.rlike("(?U)" + pattern_of(t)), t) for t in sorted(set(terms))]))
-            entries.append(F.struct(F.lit(g).alias("key"), F.when(matches(normalized, terms), hits).otherwise(F.array().cast("array<string>")).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0)) if entries else F.map_from_entries(F.array().cast("array<struct<key:string,value:array<string>>>"))
+
+    def entries(n: Column) -> Column:
+        out = []
+        for g, terms in lexicon.groups.items():
+            if terms:
+                hits = F.array_compact(F.array(*[F.when(n.contains(plain(t)) & n.rlike("(?U)" + pattern_of(t)), t) for t in sorted(set(terms))]))
+                out.append(F.struct(F.lit(g).alias("key"), F.when(matches(n, terms), hits).otherwise(strings(())).alias("value")))
+        return F.map_from_entries(F.filter(F.array(*out).cast(TERMS), lambda e: F.size(e["value"]) > 0))
+
+    return let(normalized, entries)
 
 
 def windows(text: Column, lexicon: Lexicon, within: Column | None = None) -> Column:
-    """array<struct<window_id, window_text, norm, groups>>: the windows with a match, page furniture skipped; ids count all windows.
+    """The windows with a match, page furniture skipped; ids count all windows.
 
     ``within`` are the groups of the whole text, which those of a window are among.
     """
-    entry = lambda w, i: let(X.normalize(w), lambda n: F.struct(i.alias("window_id"), F.substring(w, 1, 500).alias("window_text"), n.alias("norm"), F.when(X.is_furniture(n), F.array().cast("array<string>")).otherwise(groups_in(n, lexicon, within)).alias("groups")))
+    entry = lambda w, i: let(X.normalize(w), lambda n: F.struct(i.alias("window_id"), F.substring(w, 1, 500).alias("window_text"), n.alias("norm"), F.when(X.is_furniture(n), strings(())).otherwise(groups_in(n, lexicon, within)).alias("groups")))
     all_windows = let(X.sentences(text), X.sentence_windows)
     return F.filter(F.transform(all_windows, entry), lambda w: F.size(w["groups"]) > 0)
 
 
+def matched_text(text: Column, lexicon: Lexicon) -> Column:
+    """struct<norm, groups, windows> of a text, each part computed once."""
+    parts = lambda t, n, g: F.struct(n.alias("norm"), g.alias("groups"), F.when(F.size(g) > 0, windows(t, lexicon, g)).otherwise(F.array().cast(WINDOWS)).alias("windows"))
+    return let(text, lambda t: let(X.normalize(t), lambda n: let(groups_in(n, lexicon), lambda g: parts(t, n, g))))
+
+
 def has(groups: Column, lexicon: Lexicon, *prefixes: str) -> Column:
     """Whether an array of group names holds one at or below a prefix."""
     names = lexicon.under(*prefixes)
-    return F.arrays_overlap(groups, F.array(*map(F.lit, names))) if names else F.lit(False)
+    return F.arrays_overlap(groups, strings(names)) if names else F.lit(False)
 
 
 def combo(found: Column, lexicon: Lexicon, first: tuple[str, ...], second: tuple[str, ...]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.lexicon import Lexicon, plain
-from .matching import combo, groups_in, has, matches, terms_in, windows
+from .matching import combo, has, matched_text, matches, terms_in
 
 FEMALE = ("female_reference_terms.gendered_phrases", "female_reference_terms.strong")
 DEATH = "indirect_terms.victim_death_phrases."
@@ -32,12 +32,8 @@ def article_text(df: DataFrame, title: tuple[str, ...], body: tuple[str, ...]) -
 
 
 def matched(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",)) -> DataFrame:
-    """Adds ``__norm``, ``__groups`` and ``__windows``."""
-    text = article_text(df, title, body)
-    df = df.withColumn("__text", text).withColumn("__norm", X.normalize(F.col("__text")))
-    df = df.withColumn("__groups", groups_in(F.col("__norm"), lexicon))
-    empty = F.array().cast("array<struct<window_id:int,window_text:string,norm:string,groups:array<string>>>")
-    return df.withColumn("__windows", F.when(F.size("__groups") > 0, windows(F.col("__text"), lexicon, F.col("__groups"))).otherwise(empty))
+    """Adds ``__m``: normalized text, groups and windows of each article."""
+    return df.withColumn("__m", matched_text(article_text(df, title, body), lexicon))
 
 
 def label_of(score: Column, thresholds: dict[str, int]) -> Column:
@@ -60,13 +56,13 @@ def explicit(norm: Column, lexicon: Lexicon) -> Column:
 def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), show_terms: bool = True) -> DataFrame:
     """Adds scores, labels, bucket, reasons, evidence and, if asked, the matched terms."""
     df = matched(df, lexicon, title, body)
-    found = F.struct(*[combo(F.col("__windows"), lexicon, FEMALE, groups).alias(name) for name, groups, _, _ in COMBOS])
+    found = F.struct(*[combo(F.col("__m.windows"), lexicon, FEMALE, groups).alias(name) for name, groups, _, _ in COMBOS])
     df = df.withColumn("__c", found)
     df = df.withColumn("__evidence", F.concat(*[F.slice(F.col(f"__c.{name}"), 1, EVIDENCE_PER_RULE) for name, _, _, _ in COMBOS]))
     on = {name: F.size(F.col(f"__c.{name}")) > 0 for name, _, _, _ in COMBOS}
-    g = F.col("__groups")
+    g = F.col("__m.groups")
     direct, law, aid, structure = (has(g, lexicon, p) for p in ("direct_terms.high_precision", "direct_terms.legal_policy_terms", "help_and_prevention_terms", "structural_context_terms"))
-    top = direct & explicit(F.col("__norm"), lexicon)
+    top = direct & explicit(F.col("__m.norm"), lexicon)
     case = F.greatest(F.when(top, 12).otherwise(0), *[F.when(on[name], n).otherwise(0) for name, _, n, _ in COMBOS if n])
     topic = F.greatest(*[F.when(c, n).otherwise(0) for c, n in ((direct, 10), (law, 6), (structure, 5), (aid, 4), (on["topic"], 4))])
     bucket = (
@@ -103,12 +99,12 @@ def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), sho
     })
     shown = F.slice("__evidence", 1, EVIDENCE)
     if show_terms:
-        df = df.withColumn("matched_terms", F.when(F.size("__groups") > 0, terms_in(F.col("__norm"), lexicon)))
+        df = df.withColumn("matched_terms", F.when(F.size("__m.groups") > 0, terms_in(F.col("__m.norm"), lexicon)))
         df = df.withColumn("proximity_evidence", F.transform(shown, lambda w: F.struct(w["window_id"].alias("window_id"), w["window_text"].alias("window_text"), terms_in(w["norm"], lexicon).alias("matches"))))
-        df = df.withColumns({"matched_terms_json": F.to_json(F.coalesce("matched_terms", F.create_map().cast("map<string,array<string>>"))), "matched_groups_json": F.to_json("__groups"), "match_reasons_json": F.to_json("match_reasons"), "proximity_evidence_json": F.to_json("proximity_evidence")})
+        df = df.withColumns({"matched_terms_json": F.to_json(F.coalesce("matched_terms", F.create_map().cast("map<string,array<string>>"))), "matched_groups_json": F.to_json("__m.groups"), "match_reasons_json": F.to_json("match_reasons"), "proximity_evidence_json": F.to_json("proximity_evidence")})
     else:
         df = df.withColumn("proximity_evidence", F.transform(shown, lambda w: F.struct(w["window_id"].alias("window_id"), w["window_text"].alias("window_text"), w["groups"].alias("groups"))))
-    return df.drop("__text", "__norm", "__groups", "__windows", "__c", "__evidence", "__bucket", "__case", "__male")
+    return df.drop("__m", "__c", "__evidence", "__bucket", "__case", "__male")
 
 
 def cleaned(articles: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 import pandas as pd
@@ -45,8 +45,10 @@ def open_url(url: str, timeout: float = 60.0) -> bytes:
     raise AssertionError
 
 
-def query_url(pattern: str, first: str, last: str, limit: int = 100) -> str:
-    return SERVICE + "?" + urllib.parse.urlencode({"url": pattern, "from": first, "to": last, "output": "json", "fl": ",".join(FIELDS), "limit": str(limit)})
+def query_url(pattern: str, first: str, last: str, limit: int = 100, filters: Sequence[str] = ()) -> str:
+    """The index query; ``filters`` as in ``statuscode:200`` or ``mimetype:text/html``."""
+    asked = [("url", pattern), ("from", first), ("to", last), ("output", "json"), ("fl", ",".join(FIELDS)), ("limit", str(limit)), *[("filter", f) for f in filters]]
+    return SERVICE + "?" + urllib.parse.urlencode(asked)
 
 
 def capture_rows(payload: bytes) -> list[tuple]:
@@ -77,7 +79,7 @@ class _Query(InputPartition):
 
 
 def register(spark: SparkSession, opener: Opener = open_url) -> None:
-    """Adds ``spark.read.format("cdx")`` with options ``sources`` (JSON list of name, domain, country), ``from``, ``to``, ``limit``, ``strict``.
+    """Adds ``spark.read.format("cdx")`` with options ``sources`` (JSON list of name, domain, country), ``from``, ``to``, ``limit``, ``filters`` (with commas between), ``strict``.
 
     A query that fails gives no rows, unless ``strict`` is true.
     """
@@ -87,13 +89,14 @@ def register(spark: SparkSession, opener: Opener = open_url) -> None:
             self.sources = json.loads(options["sources"])
             self.first, self.last = options["from"], options["to"]
             self.limit, self.strict = int(options.get("limit", "100")), options.get("strict", "false").lower() == "true"
+            self.filters = [f for f in options.get("filters", "").split(",") if f]
 
         def partitions(self):
             return [_Query(s["name"], s["domain"], s["country"], d) for s in self.sources for d in days(self.first, self.last)]
 
         def read(self, q):
             try:
-                found = capture_rows(opener(query_url(q.domain, q.day, q.day, self.limit), 120.0))
+                found = capture_rows(opener(query_url(q.domain, q.day, q.day, self.limit, self.filters), 120.0))
             except Exception:
                 if self.strict:
                     raise
