@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from importlib import resources
 
+# The roots that groups hang on, and the least score of each label.
 ROOTS = frozenset(
     "accident_or_disaster_terms aggressor_terms digital_or_cyber_violence_terms direct_terms female_reference_terms help_and_prevention_terms indirect_terms prior_violence_or_control_terms relationship_terms sexual_violence_terms structural_context_terms violence_types_and_modalities".split()
 )

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 #: What ends a line, as in Unicode's line breaks plus the information separators.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-#: Phrases of page furniture, in plain spelling and order.
+# Phrases of page furniture in plain spelling, and of lines that are dropped (lower case, accents kept), in order.
 FURNITURE = "buscar clarin|cerrar sesion|leidas comentadas|lo mas leido|mas comentadas|mas leidas|mi cuenta|newsletter|notas relacionadas|noticias deportes extrashow|relacionadas|servicios|tops clarin|ultimas noticias"
-#: Lines with one of these (lower case, accents kept) are dropped.
 DROPPED = "comentarios|compartir en facebook|compartir en twitter|desde su móvil acceda|newsletter|política de privacidad|sitio desarrollado con software libre|síguenos en|todos los derechos reservados"
 
 

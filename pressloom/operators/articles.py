@@ -88,7 +88,7 @@ def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **sta
     leaves tied is settled by a hash of the row.
     """
     rest = [c for c in df.columns if c not in keys]
-    whole = F.xxhash64(*[F.col(c) for c in df.columns if not df.schema[c].dataType.typeName().startswith("map")])
+    whole = F.xxhash64(*[F.col(c) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()])
     rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], whole.alias("h"))
     best = F.min_by(F.struct(*rest), rank).alias("__best")
     found = df.groupBy(*keys).agg(best, *[c.alias(name) for name, c in stats.items()])

@@ -189,8 +189,11 @@ def derived(bucket: Column, label: Column, level: Column) -> dict[str, Column]:
 
 
 def classify(df: DataFrame, lexicon: Lexicon, title: tuple[str, ...] = TITLES, body: tuple[str, ...] = BODIES, show_terms: bool = True) -> DataFrame:
-    """Adds the contextual columns to rows with a ``retrieval_bucket``; without that column no row counts as a case."""
-    df = matched(df, lexicon, title, body)
+    """Adds the contextual columns to rows with a ``retrieval_bucket``; without that column no row counts as a case.
+
+    Windows that a retrieval scoring by the same lexicon has kept (``__m``) are not built again.
+    """
+    df = df if "__m" in df.columns else matched(df, lexicon, title, body)
     label, terms = explicit_label(F.col("__m.norm"), lexicon)
     df = df.withColumns({"explicit_label_type": label, "explicit_label_terms": terms, "__e": evidence(F.col("__m.windows"), lexicon)})
     df = df.withColumn("__best", F.coalesce(F.array_max(F.transform("__e", lambda e: e["level"])), F.lit(0)))
@@ -206,7 +209,8 @@ def classify(df: DataFrame, lexicon: Lexicon, title: tuple[str, ...] = TITLES, b
         "contextual_violence_types": union("__d", "types"),
         "violence_direction": F.when(F.size("__way") == 0, "unknown").when(F.size("__way") == 1, F.get("__way", F.lit(0))).otherwise("mixed"),
     })
-    ordered = F.slice(F.concat(*[F.filter("__e", lambda e, k=k: e["level"] == k) for k in (3, 2, 1, 0)]), 1, MOST_EVIDENCE)
+    at_level = lambda k: F.filter("__e", lambda e: e["level"] == k)
+    ordered = F.slice(F.concat(*map(at_level, (3, 2, 1, 0))), 1, MOST_EVIDENCE)
     told = F.create_map(*[x for d, reasons in DIRECTION_REASONS.items() for x in (F.lit(d), F.array(*map(F.lit, reasons)))])
 
     def shown(e: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.lexicon import Lexicon, plain
 from .matching import combo, has, matched_text, matches, terms_in
 
+# Group paths, scores, reasons and limits of the rules.
 FEMALE = ("female_reference_terms.gendered_phrases", "female_reference_terms.strong")
 DEATH = "indirect_terms.victim_death_phrases."
 #: (name, groups beside a female reference, score, reason) in the order of the rules.
@@ -53,8 +54,11 @@ def explicit(norm: Column, lexicon: Lexicon) -> Column:
     return matches(norm, terms) if terms else F.lit(False)
 
 
-def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), show_terms: bool = True) -> DataFrame:
-    """Adds scores, labels, bucket, reasons, evidence and, if asked, the matched terms."""
+def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), show_terms: bool = True, keep_match: bool = False) -> DataFrame:
+    """Adds scores, labels, bucket, reasons, evidence and, if asked, the matched terms.
+
+    ``keep_match`` leaves ``__m`` for a contextual classification in the same plan.
+    """
     df = matched(df, lexicon, title, body)
     found = F.struct(*[combo(F.col("__m.windows"), lexicon, FEMALE, groups).alias(name) for name, groups, _, _ in COMBOS])
     df = df.withColumn("__c", found)
@@ -104,7 +108,7 @@ def score(df: DataFrame, lexicon: Lexicon, title=("title",), body=("text",), sho
         df = df.withColumns({"matched_terms_json": F.to_json(F.coalesce("matched_terms", F.create_map().cast("map<string,array<string>>"))), "matched_groups_json": F.to_json("__m.groups"), "match_reasons_json": F.to_json("match_reasons"), "proximity_evidence_json": F.to_json("proximity_evidence")})
     else:
         df = df.withColumn("proximity_evidence", F.transform(shown, lambda w: F.struct(w["window_id"].alias("window_id"), w["window_text"].alias("window_text"), w["groups"].alias("groups"))))
-    return df.drop("__m", "__c", "__evidence", "__bucket", "__case", "__male")
+    return df.drop("__c", "__evidence", "__bucket", "__case", "__male", *(() if keep_match else ("__m",)))
 
 
 def cleaned(articles: DataFrame) -> DataFrame:

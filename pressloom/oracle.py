@@ -245,6 +245,8 @@ QUERIES = {
     "clean_candidates": f"SELECT source, normalized_url, candidate_url FROM (SELECT *, row_number() OVER (PARTITION BY source, normalized_url ORDER BY snapshot_timestamp, candidate_url) AS rn FROM (SELECT *, {normal_url('candidate_url')} AS normalized_url FROM cn WHERE {like_article('candidate_url', 'anchor_text')}) WHERE NOT {no_article('normalized_url')}) WHERE rn = 1",
     "wayback_url": "SELECT page_id, 'https://web.archive.org/web/' || snapshot_timestamp || 'id_/' || candidate_url AS raw_url, snapshot_timestamp || '_' || md5(candidate_url) || '.html' AS cache_name FROM cn",
     "wayback_unwrap": "SELECT page_id, url AS href FROM pages",
+    "link_extract": r"""SELECT 'press' AS source, 'Argentina' AS country, snapshot_timestamp, homepage_url, candidate_url, anchor_text FROM (SELECT *, row_number() OVER (PARTITION BY candidate_url ORDER BY snapshot_timestamp) AS rn FROM
+  (SELECT lpad(CAST(page_id AS VARCHAR), 14, '0') AS snapshot_timestamp, url AS homepage_url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS candidate_url, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor_text FROM pages)) WHERE rn = 1""",
     "archive_year": f"SELECT doc_id, {year('snapshot_timestamp', 'run_id')} AS archive_year FROM art",
     "snapshot_datetime": "SELECT doc_id, CAST(try_strptime(nullif(regexp_extract(coalesce(snapshot_timestamp, ''), '^([0-9]{14})', 1), ''), '%Y%m%d%H%M%S') AS VARCHAR) AS captured FROM art",
     "article_key": f"SELECT doc_id, CASE WHEN u = '' THEN run_id || '|row|' || doc_id ELSE {trimmed('country')} || '|' || source || '|' || u END AS article_key FROM (SELECT *, {trimmed('normalized_url', 'candidate_url')} AS u FROM art)",

@@ -25,9 +25,9 @@ from .windows import Window
 STAGES = ("cdx", "homepage", "clean", "articles", "retry", "classify")
 
 
-def classify(articles: DataFrame, lexicon: Lexicon, show_terms: bool = True) -> DataFrame:
+def classify(articles: DataFrame, lexicon: Lexicon, show_terms: bool = True, keep_match: bool = False) -> DataFrame:
     """Cleaned text and retrieval scores of articles with text, title, anchor_text and source."""
-    return retrieval.score(retrieval.cleaned(articles), lexicon, show_terms=show_terms)
+    return retrieval.score(retrieval.cleaned(articles), lexicon, show_terms=show_terms, keep_match=keep_match)
 
 
 def contextual_snapshots(classified: DataFrame, lexicon: Lexicon, start: int, end: int, row: str | None = None, show_terms: bool = True) -> DataFrame:

@@ -46,7 +46,8 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return stages.contextual_snapshots(classified(spark, d), LEXICON, START, END, "doc_id", show_terms=False)
+    both = stages.classify(articles(spark, d), LEXICON, show_terms=False, keep_match=True)
+    return stages.contextual_snapshots(both, LEXICON, START, END, "doc_id", show_terms=False)
 
 
 def unique(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +154,8 @@ def male_victim_flag(spark, d):
 
 @query
 def explicit_label(spark, d):
-    return contextual.classify(classified(spark, d), LEXICON, show_terms=False).select("doc_id", "explicit_label_type")
+    df = stages.classify(articles(spark, d), LEXICON, show_terms=False, keep_match=True)
+    return contextual.classify(df, LEXICON, show_terms=False).select("doc_id", "explicit_label_type")
 
 
 @query
