@@ -211,11 +211,12 @@ def wilson(s: str, n: str) -> tuple[str, str]:
     return f"CASE WHEN {n} > 0 THEN round(greatest(0.0::DOUBLE, {centre} - {margin}), 9) END", f"CASE WHEN {n} > 0 THEN round(least(1.0::DOUBLE, {centre} + {margin}), 9) END"
 
 
+CHAIN["cc"] = f"SELECT source, normalized_url, candidate_url FROM (SELECT *, row_number() OVER (PARTITION BY source, normalized_url ORDER BY snapshot_timestamp, candidate_url) AS rn FROM (SELECT *, {normal_url('candidate_url')} AS normalized_url FROM cn WHERE {like_article('candidate_url', 'anchor_text')}) WHERE NOT {no_article('normalized_url')}) WHERE rn = 1"
 _low, _high = wilson("n_relevant", "(n_relevant + n_not_relevant)")
 _statuses = ", ".join(f"count_if(provisional_case_status = '{s}') AS {s}" for s in _rank)
 _main = "provisional_case_status IN ('candidate_explicit_case', 'candidate_contextual_high') AND manual_scope_decision <> 'exclude'"
 _pending = "((auto_scope_status = 'alert' AND manual_scope_decision = '') OR manual_scope_decision = 'review')"
-_stage = "SELECT 'cdx_snapshots' AS stage, source, false AS txt, false AS bad FROM cp UNION ALL SELECT 'homepage_candidates', source, false, false FROM cn UNION ALL SELECT 'clean_candidates', source, false, false FROM cn WHERE page_id % 3 = 0 UNION ALL SELECT 'articles_text', source, length(coalesce(text, '')) > 0, fetch_error IS NOT NULL FROM art UNION ALL SELECT 'articles_classified', source, false, false FROM art WHERE doc_id % 5 < 3"
+_stage = "SELECT 'cdx_snapshots' AS stage, source, false AS txt, false AS bad FROM cp UNION ALL SELECT 'homepage_candidates', source, false, false FROM cn UNION ALL SELECT 'clean_candidates', source, false, false FROM cc UNION ALL SELECT 'articles_text', source, length(coalesce(text, '')) > 0, fetch_error IS NOT NULL FROM art UNION ALL SELECT 'articles_classified', source, false, false FROM art WHERE fetch_error IS NULL"
 _counts = "count_if(stage = 'cdx_snapshots') AS cdx_snapshots, count_if(stage = 'homepage_candidates') AS homepage_candidates, count_if(stage = 'clean_candidates') AS clean_candidates, count_if(stage = 'articles_text') AS articles_text, count_if(stage = 'articles_text' AND txt) AS articles_with_text, count_if(stage = 'articles_text' AND bad) AS fetch_or_parse_errors, count_if(stage = 'articles_classified') AS articles_classified"
 PLACE = "archive_year, country, source"
 _wide = lambda key, column, values: f"SELECT {key}, " + ", ".join(f"count_if({column} = '{v}') AS {v}" for v in values) + " FROM {} GROUP BY {}"
@@ -242,7 +243,7 @@ QUERIES = {
     "pending_decisions": "SELECT doc_id, article_key, auto_scope_reason FROM fd WHERE auto_scope_status = 'alert' AND manual_scope_decision = ''",
     "normalize_url": f"SELECT page_id, {normal_url('candidate_url')} AS normalized_url FROM cn",
     "url_filter": f"SELECT page_id, {no_article('candidate_url')} AS no_article, {like_article('candidate_url', 'anchor_text')} AS looks_like_article FROM cn",
-    "clean_candidates": f"SELECT source, normalized_url, candidate_url FROM (SELECT *, row_number() OVER (PARTITION BY source, normalized_url ORDER BY snapshot_timestamp, candidate_url) AS rn FROM (SELECT *, {normal_url('candidate_url')} AS normalized_url FROM cn WHERE {like_article('candidate_url', 'anchor_text')}) WHERE NOT {no_article('normalized_url')}) WHERE rn = 1",
+    "clean_candidates": "SELECT source, normalized_url, candidate_url FROM cc",
     "wayback_url": "SELECT page_id, 'https://web.archive.org/web/' || snapshot_timestamp || 'id_/' || candidate_url AS raw_url, snapshot_timestamp || '_' || md5(candidate_url) || '.html' AS cache_name FROM cn",
     "wayback_unwrap": "SELECT page_id, url AS href FROM pages",
     "link_extract": r"""SELECT 'press' AS source, 'Argentina' AS country, snapshot_timestamp, homepage_url, candidate_url, anchor_text FROM (SELECT *, row_number() OVER (PARTITION BY candidate_url ORDER BY snapshot_timestamp) AS rn FROM

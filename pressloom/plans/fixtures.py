@@ -92,7 +92,7 @@ FROM {documents} d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {label
 DECISIONS = """
 SELECT 'http://' || source || '.example.com/nota/' || CAST(doc_id % 700 AS string) AS article_key,
   CASE doc_id % 4 WHEN 0 THEN ' Exclude' WHEN 1 THEN 'include' WHEN 2 THEN 'review' ELSE '' END AS manual_scope_decision, doc_id AS ordinal
-FROM {documents} WHERE source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8')
+FROM {documents}
 """
 
 

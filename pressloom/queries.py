@@ -469,7 +469,7 @@ def retry_merge(spark, d):
 
 def _stages(spark, d):
     c, a = links(spark, d), articles(spark, d)
-    return {"cdx_snapshots": captures(spark, d), "homepage_candidates": c, "clean_candidates": c.where("page_id % 3 = 0"), "articles_text": a, "articles_classified": a.where("doc_id % 5 < 3").drop("text", "fetch_error")}
+    return {"cdx_snapshots": captures(spark, d), "homepage_candidates": c, "clean_candidates": C.clean_candidates(c.drop("page_id")), "articles_text": a, "articles_classified": a.where("fetch_error IS NULL").drop("text", "fetch_error")}
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent.parent))
 
 from pressloom.functions.lexicon import Lexicon
+from pressloom.operators import articles as A
 from pressloom.plans import cli, stages, windows
 from pressloom.sources import archive, config, tables
 from pressloom.streaming import ingest
@@ -178,6 +179,19 @@ def test_stream(spark, run, tmp_path):
     assert tables.parquet(spark, f"{tmp_path}/out").count() == source.count() == 2
 
 
+def test_stream_merges_and_counts(spark, run, tmp_path):
+    root, _ = run
+    source = tables.parquet(spark, f"{root}/data/runs/2015/extracted_text/articles_text.parquet")
+    stream = ingest.classified_stream(spark, f"{root}/data/runs/*/extracted_text/articles_text.parquet", source.schema, LEXICON)
+    once = lambda df: A.first_rows(df, ("normalized_url",), [F.col("snapshot_timestamp")])
+    for check in "ab":  # a second stream brings the same rows again
+        ingest.merge_unique(stream, f"{tmp_path}/unique", f"{tmp_path}/{check}", once).awaitTermination()
+    assert sorted(r.title for r in tables.parquet(spark, f"{tmp_path}/unique").collect()) == ["Crimen", "Fiesta"]
+    counted = ingest.bucket_counts(stream).writeStream.format("memory").queryName("buckets").outputMode("complete").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert sum(r.n for r in spark.table("buckets").collect()) == 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
