@@ -62,7 +62,8 @@ def templates(seen: DataFrame) -> DataFrame:
         wide = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n")).where(f"kids > {CHILDREN} AND 2 * kids > n").select("host", "template", F.lit(True).alias("wide"))
         t = t.join(wide, ["host", "template"], "left")
         child = F.when(F.col("wide") & ~F.col("c").like("{%") & ~F.col("c").like("*%"), "*").otherwise(F.col("c"))
-        t = t.select("host", "shape", "n", "s", F.when(F.col("c").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child)).alias("template"))
+        # a level is read twice by the next one: written, the plan stays as large as one level
+        t = stored(t.select("host", "shape", "n", "s", F.when(F.col("c").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child)).alias("template")))
     return t.select("host", "shape", "template")
 
 
