@@ -12,15 +12,17 @@ is done. The rest are linked without emitting the pairs of a bucket: each
 fingerprint names itself and its 64 one-bit neighbours, and those naming a
 common word are within two bits of each other; a word has at most 65 names.
 
-``similar_groups`` finds texts whose sets of shingles are similar, down to a
-Jaccard similarity of 0.8, which is far beyond two bits. Its fingerprints have
-256 bits and link where they differ in so few that a pair at the similarity
-sought does with 97 % (``widest``). Their first bits are cut into ``STRIPES``
+``similar_groups`` links texts whose sets of shingles have a Jaccard similarity
+of 0.8 or more, which is far beyond two bits. Candidates come from fingerprints
+of 256 bits that differ in no more than all but some 3 in 100,000 pairs at the
+similarity sought do (``widest``). Their first bits are cut into ``STRIPES``
 stripes with covering masks each: a stripe of ``d`` dimensions has ``2^d - 1``
 tables and misses no pair with less than ``d`` differing bits in it, so no pair
 with less than ``d * STRIPES`` in all; pairs at the similarity sought share a
 table with 98 %, closer ones with more. A bucket of any size is cut into blocks
-that are compared two by two; tasks return a spanning forest, never pairs.
+that are compared two by two; tasks return a spanning forest, never pairs. Then
+every pair of texts that candidates connect is decided by the shingle sets
+themselves, block by block again, and only what reaches the similarity links.
 
 Defined results: a null or word-less text has fingerprint zero, linked like any
 other; a null ``doc_id`` has a fingerprint, but takes no part in links and its
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import block_pairs, components, forest, grouped_batches, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
-#: The wide fingerprint's 64-bit parts, its stripes, and rows of a block.
-LANES, STRIPES, ROWS = 4, 7, 4096
+#: The wide fingerprint's 64-bit parts, its stripes, rows of a block of fingerprints, and of one of texts.
+LANES, STRIPES, ROWS, TEXTS = 4, 7, 4096, 512
 _ODD = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 ONE_BITS = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 BLOCK = 1 << 18
@@ -79,15 +81,24 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(majority(shingle_hashes(text, words))[0])
 
 
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """SimHash of ``LANES`` times 64 bits over the distinct word shingles, the least one twice where their number is even."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of the word shingles, in order."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_digest(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of shingles apart, as two signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist())
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of ``LANES`` times 64 bits over a set of shingles, the least one twice where their number is even."""
 
     def lanes():
-        parts = list(shingle_hashes(text, words))
-        h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        h = np.append(h, h[: (len(h) + 1) % 2])  # an odd number leaves no bit undecided
-        for at in range(0, len(h), BLOCK >> 2):
-            x = h[at : at + (BLOCK >> 2), None] * np.array(_ODD)
+        odd = np.append(h, h[: (len(h) + 1) % 2])  # an odd number leaves no bit undecided
+        for at in range(0, len(odd), BLOCK >> 2):
+            x = odd[at : at + (BLOCK >> 2), None] * np.array(_ODD)
             x ^= x >> np.uint64(31)
             x *= _ODD[2]
             yield x ^ (x >> np.uint64(29))
@@ -140,10 +151,10 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def widest(similarity: float) -> int:
-    """Differing bits of the wide fingerprint up to which texts link: what 97 % of the pairs at a Jaccard similarity do not exceed."""
+    """Differing bits of the wide fingerprint up to which texts are candidates: four deviations above the mean at a Jaccard similarity."""
     bits = 64 * LANES
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 1.88 * math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
 def dimensions(n: int) -> int:
@@ -161,8 +172,8 @@ def stripe_keys(wide: np.ndarray, d: int) -> np.ndarray:
     return np.hstack([x[:, None] & masks for x in stripes])
 
 
-def similar_links(rows: list[pa.Table], most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one block, or between two."""
+def candidate_links(rows: list[pa.Table], most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates within one block, or between two."""
     t = pa.concat_tables(rows)
     side, node = (t.column(c).to_numpy() for c in ("side", "node"))
     wide = np.stack([t.column(f"w{k}").to_numpy() for k in range(LANES)], 1).view(np.uint64)
@@ -180,18 +191,53 @@ def similar_links(rows: list[pa.Table], most: int) -> list[tuple[int, int]]:
     return [(int(node[x]), int(node[y])) for x, y in forest(a, b, len(t))]
 
 
+def similar_links(rows: list[pa.Table], words: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of texts at the similarity within one block, or between two, by their shingle sets."""
+    t = pa.concat_tables(rows).select(["side", "node", "s0", "s1", "text"])
+    seen, sides, nodes, sets = set(), [], [], []
+    for b in t.to_batches(max_chunksize=64):
+        for side, node, s0, s1, text in zip(*(c.to_pylist() for c in b.columns)):
+            # a repeated doc_id brings other texts along, or the same one again
+            if (node, s0, s1) not in seen and set_digest(h := shingle_set(text, words)) == (s0, s1) and len(h):
+                seen.add((node, s0, s1))
+                sides.append(side)
+                nodes.append(node)
+                sets.append(h)
+    left, right = [k for k, x in enumerate(sides) if x != 1], [k for k, x in enumerate(sides) if x != 0]
+    if not left or not right:
+        return []
+    sizes = np.array([len(h) for h in sets], np.int64)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    far, starts = np.concatenate([own[k] for k in right]), np.concatenate(([0], np.cumsum(sizes[right])[:-1]))
+    right, group, found = np.array(right), np.arange(len(sets)), []
+    for i in left:
+        inside = np.zeros(len(known), bool)
+        inside[own[i]] = True
+        both = np.add.reduceat(inside[far], starts, dtype=np.int64)
+        near = right[both >= similarity * (sizes[i] + sizes[right] - both) - 1e-9]
+        for j in near[group[near] != group[i]].tolist():
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                found.append((nodes[i], nodes[j]))
+    return found
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``; texts without a word form one group."""
 
     def prints(batches):
         for b in batches:
-            w = np.array([wide_fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)]], ["doc_id", *lanes])
+            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            w = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, LANES).view(np.int64)
+            s = np.array([set_digest(h) for h in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)], *[pa.array(s[:, k]) for k in range(2)]], ["doc_id", *lanes, *digest])
 
-    lanes = [f"w{k}" for k in range(LANES)]
+    lanes, digest = [f"w{k}" for k in range(LANES)], ["s0", "s1"]
     of = ", ".join(f"{c} long" for c in lanes)
-    wide = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, f"doc_id long, {of}"))
-    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*lanes).agg(F.min("doc_id").alias("node")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    wide = stored(texts.mapInArrow(prints, f"doc_id long, {of}, s0 long, s1 long"))
+    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*digest, *lanes).agg(F.min("doc_id").alias("node")))
     d, most = dimensions(known.count()), widest(similarity)
 
     def keys(batches):
@@ -200,18 +246,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             k = stripe_keys(x, d)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.int64()))], ["node", *lanes, "keys"])
 
-    def compare(batches):
-        for out in grouped_batches(batches, lambda held: similar_links(held, most)):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+    def linked(met: DataFrame, then) -> DataFrame:
+        def compare(batches):
+            for out in grouped_batches(batches, then):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+        return met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     dealt = known.select("node", *lanes).mapInArrow(keys, f"node long, {of}, keys array<long>").select("node", *lanes, F.posexplode("keys").alias("t", "key"))
     met = block_pairs(dealt, ["t", "key"], "node", ROWS).select("group", "side", "node", *lanes)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    links = met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
-    roots = components(links)
+    likely = components(linked(met, lambda held: candidate_links(held, most)))
+    dealt = stored(known.join(likely, "node").select("node", *digest, "root"))
+    met = block_pairs(dealt, ["root"], "node", TEXTS).select("group", "side", "node", *digest)
+    met = met.join(texts.withColumnRenamed("doc_id", "node"), "node").select("group", "side", "node", *digest, "text")
+    roots = components(linked(met, lambda held: similar_links(held, words, similarity)))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = known.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
-    return wide.join(named, lanes, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = known.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select(*digest, F.coalesce("component_id", "node").alias("component_id"))
+    return wide.join(named, digest, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

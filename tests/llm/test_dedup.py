@@ -97,6 +97,22 @@ def test_similar_groups_find_near_copies(spark):
     assert 40 <= kept <= 47
 
 
+def test_similar_groups_hold_no_pair_below_the_similarity(spark):
+    """Pairs at every similarity, also where the fingerprints are near; the links are those of the shingle sets."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        t = prose(200, rng)
+        rows += [(10 * k, t), (10 * k + 1, edited(t, 2 + k % 8, rng)), (10 * k + 2, edited(t, 4, rng))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split(" ")) for i, t in rows)}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    links = [p for p in itertools.combinations(sets, 2) if alike(*p)]
+    expected = groups(sets, links)
+    out = {r.doc_id: r.component_id for r in S.similar_groups(table(spark, rows)).collect()}
+    assert len(links) > 30 and all(expected[i] == expected[c] for i, c in out.items()), "texts below the similarity were joined"
+    assert sum(out[i] != expected[i] for i in out) <= 0.02 * len(out)
+
+
 def test_similar_groups_of_odd_rows(spark):
     rows = [(3, None), (1, ""), (2, " "), (5, "one"), (4, "one"), (None, "one"), (None, None), (4, "one two")]
     out = sorted(((r.doc_id, r.component_id) for r in S.similar_groups(table(spark, rows)).collect()), key=str)
