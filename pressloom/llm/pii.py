@@ -40,7 +40,7 @@ KINDS = {
 }
 ENTITY = "|".join(KINDS.values())
 #: What no text with an entity lacks.
-GATE = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|AKIA|ASIA|(?:{TITLES})\.? \p{{Lu}}"
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 HEX = ("0123456789abcdef",)
 SEPARATORS = r"[ ().+-]"
