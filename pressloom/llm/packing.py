@@ -19,11 +19,14 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +38,40 @@ SIZE, SEPARATOR = 2048, 0
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns of three and four lengths that are tried for each largest length; rounds of the fit.
 TRIED, ROUNDS = 24, 300
+
+
+@lru_cache(4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the tokens that the vocabulary's JSON file adds, which the library finds in a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    assert not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found)
+    return {t["content"]: t["id"] for t in found}
+
+
+def encoded(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text as the ``tokenizers`` library gives them: added tokens first, the parts between by themselves."""
+    own, added = load(path, GPT2), added_tokens(path)
+    if not any(t in text for text in texts for t in added):
+        return own.encode_many(texts)
+    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split
+    parts = [cut(text) for text in texts]
+    between = iter(own.encode_many([p for row in parts for p in row[::2]]))
+    return [np.concatenate([np.array([added[p]], "<u4") if k % 2 else next(between) for k, p in enumerate(row)]) for row in parts]
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, batch: int = 16) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece; ``path`` is the vocabulary's JSON file.
 
-    The ids are those of the ``tokenizers`` library, from the same merges by the quicker encoder of ``bpe``.
+    The ids are those of the ``tokenizers`` library, from the same merges by the quicker encoder of ``bpe``, added tokens included.
     """
 
     def run(batches):
-        own = load(path, GPT2)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode_many([t or "" for t in part.column(1).to_pylist()])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded([t or "" for t in part.column(1).to_pylist()], path)):
                     ids = np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
                     cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:])):

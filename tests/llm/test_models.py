@@ -97,6 +97,18 @@ def test_packing_is_gapless_and_whole(spark):
     assert own[1]["ids_crc32"] == zlib.crc32(np.array(ids[own[1]["start"] : own[1]["start"] + size], "<u4").tobytes())
 
 
+def test_packing_knows_added_tokens(spark):
+    """As the library at its default setting."""
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  \n", "<|endoftext|" + "> " * 3, "<|endoftext|> a" * 900]
+    out = {}
+    for r in packed(spark, enumerate(texts)):
+        out.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for k, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        assert sorted(out[k]) == [(x, n, zlib.crc32(np.array(ids[x : x + n], "<u4").tobytes())) for x, n, _ in sorted(out[k])] and sum(n for _, n, _ in out[k]) == len(ids), repr(t)[:50]
+
+
 def test_packing_of_nothing(spark):
     assert packed(spark, []) == [] and [(r["length"], r["offset"]) for r in packed(spark, [(1, None)])] == [(1, 0)]
 
