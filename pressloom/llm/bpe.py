@@ -1,43 +1,64 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A piece is halved recursively down to short leaves; two neighbouring encodings
-are joined by re-encoding a window over their border, widened by more and
-more tokens until both of its outer borders hold. A border between tokens ``a b`` holds when
-the two alone encode to ``a, b``. A sequence in which every border holds is the
-encoding of its bytes (merges go by rank, each token is the merge of two of
-lower rank, so a first wrong merge would have to cross some border, and would
-be made by that border's two tokens alone as well), so the tokens outside of
-the window are final. Decoding concatenates up the same tree. Over a text the
-matches of the pattern are encoded separately, hence joined as they are.
+A match of the pattern is halved recursively down to single bytes, and two
+neighbouring encodings are joined by re-encoding a window over their border,
+widened by more and more tokens until both of its outer borders hold. A border
+between tokens ``a b`` holds when the two alone encode to ``a, b``. A sequence in
+which every border holds is the encoding of its bytes (merges go by rank, each
+token is the merge of two of lower rank, so a first wrong merge would have to
+cross some border, and would be made by that border's two tokens alone as well),
+so the tokens outside of the window are final. Over a text the matches are
+encoded separately, hence neighbours are joined as they are, two by two up a
+tree. Decoding concatenates neighbours two by two up a tree as well.
+
+The reduction is the only encoder: no library encodes here. What a word encodes
+to is remembered, as a join's windows are, in caches of bounded size.
 
 Defined results: a null or empty text has no ids; lone surrogates cannot occur
-in Spark strings; repeated rows each get a row; further columns are ignored.
+in Spark strings; a null ``doc_id`` is carried along and repeated rows each get a
+row; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of
 
-LEAF = 64
-_SEPARATORS = regex.compile("[\x1c-\x1f]").search
-#: Words that a worker remembers in each of two generations; a full one replaces the older.
-REMEMBERED = 150_000
+#: White space to a tokeniser's regular expressions; this library's own also counts four separators.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Words that a worker remembers in each of two generations (a full one replaces the older), and their longest.
+REMEMBERED, LONGEST = 500_000, 200
+#: Bytes of a half that is remembered.
+SHORT = 8
 #: Texts that are encoded together.
 BATCH = 16
 
 
+def same_blanks(pattern: str) -> str:
+    """The pattern with its classes of white space spelt out."""
+    return pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", f"[^{BLANK}]").replace(r"\s", f"[{BLANK}]")
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """The parts joined two by two, level by level."""
+    while len(parts) > 1:
+        last = parts[len(parts) & ~1 :]
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + last
+    return parts[0] if parts else b""
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -45,26 +66,51 @@ class Encoder:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.names = [f"{i} " for i in range(len(self.tokens))]
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(same_blanks(pattern)).findall
+        self.plain = r" ?\p{L}+" in pattern
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: the merges of one short piece, by rank; the library's loop
-        self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.leaf = self.core.encode_single_piece
-        self.spaced = np.array([t[:1] == b" " for t in self.tokens], bool)
-        self.border = lru_cache(1 << 17)(self._border)
+        self.border = lru_cache(1 << 18)(self._border)
+        self.short = lru_cache(1 << 18)(self._piece)
+        self.seen = lru_cache(1 << 17)(self.window)
+        self.joins = 0
+
+    def window(self, data: bytes) -> list[int]:
+        """The encoding of a window's bytes: the pair of least rank is merged, the leftmost first, until none is left."""
+        ranks, n = self.ranks, len(data)
+        at, after, before = [data[k : k + 1] for k in range(n)], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := ranks.get(data[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if not at[k] or j >= n or ranks.get(at[k] + at[j]) != r:
+                continue  # one of the two has been merged since
+            at[k] += at[j]
+            at[j] = b""
+            after[k] = then = after[j]
+            if then < n:
+                before[then] = k
+                if (new := ranks.get(at[k] + at[then])) is not None:
+                    heapq.heappush(heap, (new, k))
+            if (first := before[k]) >= 0 and (new := ranks.get(at[first] + at[k])) is not None:
+                heapq.heappush(heap, (new, first))
+        return [ranks[t] for t in at if t]
 
     def _border(self, a: int, b: int) -> list[int]:
-        return self.leaf(self.tokens[a] + self.tokens[b])
+        return self.window(self.tokens[a] + self.tokens[b])
 
     def holds(self, a: int, b: int) -> bool:
-        return self.border(a, b) == [a, b]
+        inner = self.border(a, b)
+        return len(inner) == 2 and inner[0] == a
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both."""
         if not left or not right:
             return left + right
-        inner = self.border(left[-1], right[0])
+        self.joins += 1
+        border = self.border
+        inner = border(left[-1], right[0])
         if len(inner) == 2 and inner[0] == left[-1]:
             return left + right
         i, j, step = len(left) - 1, 1, 1
@@ -75,65 +121,47 @@ class Encoder:
                 return left[:i] + inner + right[j:]
             i, j = i if before else max(0, i - step), j if after else min(len(right), j + step)
             step *= 2
-            inner = self.leaf(self.decode(left[i:]) + self.decode(right[:j]))
+            data = self.decode(left[i:]) + self.decode(right[:j])
+            inner = self.seen(data) if len(data) <= 4 * SHORT else self.window(data)
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.leaf(data)
+    def _piece(self, data: bytes) -> list[int]:
+        if len(data) == 1:
+            return [self.ranks[data]]
         half = len(data) // 2
         return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
 
+    def encode_piece(self, data: bytes) -> list[int]:
+        return self.short(data) if len(data) <= SHORT else self._piece(data)
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return concatenated([self.tokens[k] for k in ids])
 
     def _word(self, word: str) -> bytes:
-        if _SEPARATORS(word):  # white space to one regular expression engine only
-            return np.array(self.core.encode_ordinary(word), "<u4").tobytes()
-        ids: list[int] = []
-        for piece in self.find(word):
-            ids += self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, "<u4").tobytes()
+        if self.plain and word[:1] == " " and word[1:].isalpha():  # one match
+            return array("I", self.encode_piece(word.encode())).tobytes()
+        return concatenated([array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes() for piece in self.find(word)])
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember words; the short ones are leaves and go through the merge loop in one call.
-
-        Each of those begins with its only space, as do the tokens that begin them.
-        """
-        known, older = self.known, self.older
-        leaves = []
-        for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif w[:1] == " " and len(w) <= LEAF and w.count(" ") == 1:
-                leaves.append(w)
-            else:
-                known[w] = self._word(w)
-        if leaves:
-            ids = np.array(self.core.encode_ordinary("".join(leaves)), "<u4")
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(leaves):
-                data, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-                known.update(zip(leaves, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
-            else:
-                known.update((w, self._word(w)) for w in leaves)
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, unsigned 32-bit.
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, unsigned 32-bit.
 
         A match never holds a space between two characters that are no white
         space except as its first character, so a text falls apart before such
         spaces and the parts are encoded, and remembered, by themselves.
         """
-        split = [words_of(t) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.older, self.known = self.known, {}
-        if new := list(set().union(*split).difference(self.known)):
-            self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        known, older, out = self.known, self.older, []
+        for w in words_of(text):
+            if (ids := known.get(w)) is None:
+                if (ids := older.get(w)) is None:
+                    ids = self._word(w)
+                if len(w) <= LONGEST:
+                    known[w] = ids
+            out.append(ids)
+        if len(known) >= REMEMBERED:
+            self.older, self.known = known, {}
+        return np.frombuffer(concatenated(out), np.uint32)
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
 
 
 def _spelled() -> dict[str, int]:
@@ -144,7 +172,7 @@ def _spelled() -> dict[str, int]:
 
 
 @lru_cache(4)
-def load(path: str, pattern: str) -> Encoder:
+def load(path: str, pattern: str, kind: type[Encoder] = Encoder) -> Encoder:
     """An encoder from a file of ranks, or from the JSON file of the same vocabulary."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
@@ -154,7 +182,7 @@ def load(path: str, pattern: str) -> Encoder:
     else:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return Encoder(ranks, pattern)
+    return kind(ranks, pattern)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

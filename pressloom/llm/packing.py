@@ -9,8 +9,8 @@ non-negative least squares and rounded down to what the histogram holds; what
 is left over is packed best-fit decreasing, by runs of equal lengths. Where
 best-fit decreasing alone needs fewer sequences, that plan is taken. A plan is
 a list of runs for each length; a piece finds its place by its rank among the
-pieces of its length. Ranks are counted within salted parts of a length, so a
-length that a third of all pieces have is no single task.
+pieces of its length. Ranks are counted within ``SALTS`` parts of each length, so
+a length that a third of all pieces have is no single task.
 
 Defined results: a null or empty text is the separator alone; a null ``doc_id``
 is carried along; repeated rows are packed each; further columns are ignored;
@@ -21,16 +21,18 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import Encoder, load
 from .common import stored
 
 SIZE, SEPARATOR = 2048, 0
@@ -38,6 +40,19 @@ SIZE, SEPARATOR = 2048, 0
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns of three and four lengths that are tried for each largest length; rounds of the fit.
 TRIED, ROUNDS = 24, 300
+#: Parts in which the pieces of a length are ranked, whatever their number.
+SALTS = 512
+
+
+class Merges(Encoder):
+    """The same encoder with a library's merge loop in place of the tree: here tokens are input, not the operator."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.core.encode_ordinary(word)).tobytes()
 
 
 @lru_cache(4)
@@ -51,7 +66,7 @@ def added_tokens(path: str) -> dict[str, int]:
 
 def encoded(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of each text as the ``tokenizers`` library gives them: added tokens first, the parts between by themselves."""
-    own, added = load(path, GPT2), added_tokens(path)
+    own, added = load(path, GPT2, Merges), added_tokens(path)
     if not any(t in text for text in texts for t in added):
         return own.encode_many(texts)
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split
@@ -63,7 +78,7 @@ def encoded(texts: list[str], path: str) -> list[np.ndarray]:
 def pieces(docs: DataFrame, path: str, size: int = SIZE, batch: int = 16) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece; ``path`` is the vocabulary's JSON file.
 
-    The ids are those of the ``tokenizers`` library, from the same merges by the quicker encoder of ``bpe``, added tokens included.
+    The ids are those of the ``tokenizers`` library, from the same merges and words remembered, added tokens included.
     """
 
     def run(batches):
@@ -206,8 +221,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(names))] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     names = cut.columns
-    salts = max(1, max(have.values(), default=1) // 20_000)
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("length", "__salt", (F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
     order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")

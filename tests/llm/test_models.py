@@ -47,11 +47,30 @@ def test_join_is_the_encoding_of_both(text, data):
     own = bpe.load(RANKS, public_tokenizers.PATTERN)
     raw = text.encode()
     cut = data.draw(st.integers(0, len(raw)))
-    whole = own.core.encode_single_piece
+    whole = tiktoken.Encoding("own3", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})._core_bpe.encode_single_piece
+    assert own.window(raw) == list(whole(raw))
     left, right = (whole(raw[:cut]) if cut else []), (whole(raw[cut:]) if cut < len(raw) else [])
     assert own.join(list(left), list(right)) == list(whole(raw)) == own.encode_piece(raw)
 
 
+def test_every_word_goes_up_the_tree(spark):
+    """Over a whole small table: the joins are counted, and nothing but the tree encodes."""
+    own = bpe.Encoder(bpe.load(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own4", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert own.encode(r.text or "").tolist() == library.encode_ordinary(r.text or "")
+    assert own.joins > len(own.known) > 1000
+
+
+def test_long_pieces_and_repeated_rows(spark):
+    texts = ["a" * 50_000, "ab" * 20_000, "日本" * 10_000, " " * 20_000, None]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)] + [(None, "a b", 1, "x")] * 2, "doc_id long, text string, ids int, n_tokens string")
+    library = tiktoken.Encoding("own5", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(RANKS, public_tokenizers.PATTERN).ranks, special_tokens={})
+    out = bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert [r.n_tokens for r in sorted(out, key=lambda r: (r.doc_id is None, r.doc_id))] == [*(len(library.encode_ordinary(t or "")) for t in texts), 2, 2]
+    assert bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
 def test_bpe_round_trip(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
     back = bpe.decoded(bpe.encoded(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
