@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urlfilter": urlfilter.oracle(), "op7_quality": QUALITY_SQL}
+    return {"op3_urlfilter": urlfilter.oracle(), "op5_vectors": vectors.oracle(), "op7_quality": QUALITY_SQL}

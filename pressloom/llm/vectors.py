@@ -1,159 +1,318 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
 Equal vectors of a label collapse first, with their number. A seeded random
-rotation gives each vector its sign code and a stored correction factor, the
-inner product of the vector with its code. Code and factor give an unbiased
-estimate of the cosine with any other rotated vector, and a bound on its error
-for pairs at the threshold, so that only pairs whose interval reaches the
-threshold are computed exactly in double precision; none at or above it is lost
-to the estimate.
-
-Candidates come from tables keyed by label and some bits of the code (another
-rotation for each table). Bits and tables follow from the number of vectors, so
-that a pair at the threshold shares a table with probability ``RECALL`` and
-buckets stay small. A pair counts in the first table it shares. A bucket of any
-size is cut into blocks of ``BLOCK`` vectors and compared block by block; tasks
-return counts and a spanning forest of their links, never pairs.
-
-Defined results: null, zero, empty or non-finite vectors, and those with null
-label, link with nothing; vectors of different lengths never link; a null
-``vec_id`` takes no part and its component is null; rows that repeat a
-``vec_id`` count once; further columns are ignored; an empty table gives an
-empty result.
+rotation gives each distinct vector its sign code, packed into 64-bit words, and
+a correction factor, the inner product of the vector with its code. Both are
+stored once, with the rotated vector in eight bit planes. The inner product of
+one vector's code with another's planes is then a matter of bit counts; divided
+by the factor it estimates the cosine without bias, and the factor bounds the
+error for any pair at the threshold. Vectors without an undecided pair are done;
+the others are read exactly, and their pairs computed in double precision. The
+bound is certain, not just likely, so no link is lost to the estimate.
+
+Candidates lose none either. The rotated dimensions are cut into stripes of
+``BITS``. Two unit vectors at the threshold are at most ``sqrt(2 - 2 threshold)``
+apart, so in some stripe their squared distance is at most an equal share of that.
+There the signs of their midpoint differ from a vector's own only where its
+components are small: their squares add up to at most a quarter of that share.
+Each vector is dealt to every sign pattern it can reach so, in each stripe, and
+the two meet in their midpoint's bucket. A pair counts in the first stripe whose
+share it keeps, in its midpoint's bucket, nowhere else. Neither the number of
+vectors nor chance decides what is found.
+
+A bucket of any size is cut into blocks of ``BLOCK`` vectors and compared block
+by block; tasks return counts and a spanning forest of their links, never pairs.
+
+Defined results: null, zero, empty or non-finite vectors, those with null label
+and those with null ``vec_id`` link with nothing (component: their own id);
+vectors of different lengths never link; rows that repeat a ``vec_id`` are
+vectors each, with a result each; further columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, forest, grouped_batches, stored
+from .common import block_pairs, components, drop, forest, stored
 
-THRESHOLD, RECALL, BLOCK, SMALL, SEED = 0.98, 0.999, 1024, 256, 11
+THRESHOLD, SEED, BITS, BLOCK, PLANES = 0.98, 11, 16, 2048, 8
+#: Room for rounding in what must not be missed.
+EPS = 1e-9
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
 
 
-def rotation(d: int, seed: int) -> np.ndarray:
+@lru_cache(8)
+def rotation(d: int, seed: int = SEED) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
 
-def sizes(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(bits, tables) for n vectors of a label."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, n / SMALL)))))
-    share = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - share))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The key of each vector (rows) in each table: signs after random rotations."""
-    d, out, signs, seed = x.shape[1], np.zeros((len(x), tables), np.int64), np.zeros((len(x), 0), bool), SEED
-    for t in range(tables):
-        while signs.shape[1] < bits:
-            seed += 1
-            signs = np.hstack((signs, x @ rotation(d, seed) > 0))
-        out[:, t] = signs[:, :bits] @ (1 << np.arange(bits, dtype=np.int64))
-        signs = signs[:, bits:]
-    return out
+def stripes(d: int) -> np.ndarray:
+    """First dimension of each stripe."""
+    return np.arange(0, d, BITS)
 
 
-def usable(v) -> np.ndarray | None:
-    """The unit vector in double precision, or None."""
-    if v is None or not len(v) or any(a is None for a in v):
-        return None
-    x = np.asarray(v, np.float64)
-    if not np.isfinite(x).all() or not (top := np.abs(x).max()):
-        return None
-    x = x / top
-    return x / math.sqrt(float(x @ x))
-
-
-class Coded:
-    """Vectors, rotated, with sign codes and correction factors."""
-
-    def __init__(self, x: np.ndarray, turn: np.ndarray):
-        self.x, self.turned = x, (x @ turn).astype(np.float32)
-        self.code = np.where(self.turned > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(x.shape[1]))
-        self.factor = (self.code * self.turned).sum(1)
-
-    def near(self, other: Coded, threshold: float):
-        """Index pairs with cosine at least the threshold."""
-        estimate = self.code @ other.turned.T / self.factor[:, None]
-        slack = np.sqrt(max(0, 1 - threshold**2) * np.maximum(0, 1 - self.factor**2)) / self.factor + np.float32(1e-4)
-        i, j = np.nonzero(estimate >= threshold - slack[:, None])
-        sure = np.concatenate([np.einsum("ij,ij->i", self.x[i[k : k + 65536]], other.x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= threshold if len(i) else np.zeros(0, bool)
-        return i[sure], j[sure]
-
-
-def compare(rows: list[pa.Table], threshold: float):
-    """Counts and links of one block pair: (node, other, n) with other null for a count."""
-    t = pa.concat_tables(rows)
-    side, node, m, table = (t.column(c).to_numpy() for c in ("side", "node", "m", "t"))
-    keys = np.array(t.column("keys").to_pylist(), np.int64)
-    x = np.array([usable(v) for v in t.column("v").to_pylist()])
-    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    turn = rotation(x.shape[1], SEED)
-    left, right = Coded(x[a], turn), Coded(x[b], turn)
-    i, j = left.near(right, threshold)
-    i, j = a[i], b[j]
-    at = int(table[0])
-    ok = node[i] != node[j]
-    if (side == 2).any():
-        ok &= node[i] < node[j]
-    ok &= (keys[i] == keys[j]).argmax(1) == at
-    i, j = i[ok], j[ok]
-    count = np.bincount(i, m[j], len(t)) + np.bincount(j, m[i], len(t))
-    some = np.flatnonzero(count)
-    links = [(int(node[p]), int(node[q])) for p, q in forest(i, j, len(t))]
-    return [(int(node[k]), None, int(count[k])) for k in some] + [(p, q, None) for p, q in links]
-
-
-def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, other, n) over distinct vectors (node long, label, m long, v array<double>)."""
-    most = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    bits, tables = sizes(most, threshold)
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    width = -(-bits.shape[1] // 64) * 64
+    wide = np.zeros((len(bits), width), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
 
-    def key(batches):
+
+def codes(turned: np.ndarray) -> dict[str, np.ndarray]:
+    """Sign code, factor, bit planes, and the least value and step that the planes count in."""
+    d = turned.shape[1]
+    signs = turned > 0
+    factor = np.where(signs, turned, -turned).sum(1) / np.sqrt(d)
+    low = turned.min(1)
+    step = np.maximum(turned.max(1) - low, 1e-30) / ((1 << PLANES) - 1)
+    level = np.clip(np.rint((turned - low[:, None]) / step[:, None]), 0, (1 << PLANES) - 1).astype(np.int64)
+    planes = np.stack([packed((level >> p) & 1) for p in range(PLANES)], 1)
+    return {"code": packed(signs), "factor": factor, "planes": planes, "low": low, "step": step}
+
+
+def estimates(c: dict[str, np.ndarray], d: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine of pairs as estimated from the code of i and the planes of j, and the error the planes can add."""
+    code = c["code"][i]
+    inside = sum((np.bitwise_count(code & c["planes"][j, p]).sum(1, dtype=np.int64) << p) for p in range(PLANES))
+    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
+    total = sum(np.bitwise_count(c["planes"][j, p]).sum(1, dtype=np.int64) << p for p in range(PLANES))
+    low, step, factor = c["low"][j], c["step"][j], c["factor"][i]
+    inner = (2 * (low * ones + step * inside) - (low * d + step * total)) / np.sqrt(d)
+    return inner / factor, np.sqrt(d) * step / 2 / factor
+
+
+def possible(c: dict[str, np.ndarray], d: int, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimates, either way, leave room for a cosine at the threshold."""
+    ok = np.ones(len(i), bool)
+    for a, b in ((i, j), (j, i)):
+        about, blur = estimates(c, d, a, b)
+        f = c["factor"][a]
+        slack = np.sqrt(max(0.0, 1 - threshold**2) * np.maximum(0, 1 - f * f)) / f + blur + EPS
+        ok &= about >= threshold - slack
+    return ok
+
+
+def reached(turned: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every bucket of every rotated unit vector."""
+    starts, out = stripes(turned.shape[1]), []
+    most = (2 - 2 * threshold) / len(starts) / 4 + EPS
+    for t, at in enumerate(starts.tolist()):
+        part = turned[:, at : at + BITS]
+        small = part * part
+        rows = np.arange(len(part))
+        key = ((part > 0) @ (1 << np.arange(part.shape[1], dtype=np.int64))) | (t << BITS)
+        used = np.zeros(len(part))
+        for k in range(part.shape[1]):
+            ok = used + small[rows, k] <= most
+            rows, key, used = np.concatenate((rows, rows[ok])), np.concatenate((key, key[ok] ^ (1 << k))), np.concatenate((used, used[ok] + small[rows[ok], k]))
+        out.append((rows, key))
+    return tuple(np.concatenate(p) for p in zip(*out))
+
+
+def home(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """The one bucket in which each pair of rotated vectors counts."""
+    starts = stripes(x.shape[1])
+    apart = np.add.reduceat((x - y) ** 2, starts, axis=1) <= (2 - 2 * threshold) / len(starts) + EPS
+    t = apart.argmax(1)
+    at = starts[t][:, None] + np.arange(BITS)
+    inside = at < x.shape[1]
+    at = np.minimum(at, x.shape[1] - 1)
+    row = np.arange(len(x))[:, None]
+    bits = ((x[row, at] + y[row, at]) > 0) & inside
+    return (bits @ (1 << np.arange(BITS, dtype=np.int64))) | (t << BITS)
+
+
+def whole_groups(batches):
+    """Tables that hold all rows of each of their groups, from batches in order of ``group``."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        group = t.column("group").to_numpy()
+        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+        if held and group[0] != held[-1].column("group")[-1].as_py():
+            yield pa.concat_tables(held)
+            held = []
+        if cut:
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held = []
+        held.append(t.slice(cut))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def pairs(group: np.ndarray, side: np.ndarray):
+    """Index pairs that meet: within a group, from both sides or within a block that meets itself; some ``PAIRS`` at a time."""
+    at, k, lefts, rights, n = np.arange(len(group)), 0, [], [], 0
+    while True:
+        k += 1
+        at = at[at + k < len(group)]
+        at = at[group[at + k] == group[at]]
+        if not len(at):
+            break
+        ok = at[(side[at] == 2) | (side[at] != side[at + k])]
+        lefts.append(ok)
+        rights.append(ok + k)
+        n += len(ok)
+        if n >= PAIRS:
+            yield np.concatenate(lefts), np.concatenate(rights)
+            lefts, rights, n = [], [], 0
+    if n:
+        yield np.concatenate(lefts), np.concatenate(rights)
+
+
+def rows_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """A column of equally long binary values or lists as a matrix."""
+    c = column.combine_chunks()
+    if pa.types.is_binary(c.type):
+        return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), -1)
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+
+def matrix(m: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def by_length(column: pa.Array):
+    """(rows, matrix) of the lists of each length."""
+    lengths = np.array([len(v) for v in column], np.int64)
+    for d in np.unique(lengths).tolist():
+        where = np.flatnonzero(lengths == d)
+        yield where, column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).reshape(len(where), d)
+
+
+CODED = "node long, code binary, factor double, planes binary, low double, step double, x array<double>, turned array<double>"
+
+
+def coded(distinct: DataFrame) -> DataFrame:
+    """The code, factor and planes of each vector, its unit vector and that rotated; from (node, v)."""
+
+    def run(batches):
         for b in batches:
-            vs = b.column(1).to_pylist()
-            out: list = [None] * len(vs)
-            of: dict[int, list[int]] = {}
-            for k, v in enumerate(vs):
-                of.setdefault(len(v), []).append(k)
-            for where in of.values():
-                for k, row in zip(where, keys_of(np.array([usable(vs[k]) for k in where]), bits, tables)):
-                    out[k] = row
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
-
-    keyed = stored(vectors.select("node", "v").mapInArrow(key, "node long, keys array<long>").join(vectors, "node").select("node", "label", F.size("v").alias("d"), "m", "v", "keys"))
-    dealt = keyed.select("node", "label", "d", F.posexplode("keys").alias("t", "key"))
-    pairs = block_pairs(dealt, ["label", "d", "t", "key"], "node", BLOCK).select("node", "t", "group", "side")
-    wide = pairs.join(keyed.select("node", "m", "v", "keys"), "node")
+            for where, v in by_length(b.column(1)):
+                x = unit(v)
+                turned = x @ rotation(x.shape[1])
+                c = codes(turned)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(where)), pa.array([r.tobytes() for r in c["code"]], pa.binary()), pa.array(c["factor"]), pa.array([r.tobytes() for r in c["planes"]], pa.binary()), pa.array(c["low"]), pa.array(c["step"]), matrix(x), matrix(turned)],
+                    [f.split()[0] for f in CODED.split(", ")],
+                )
+
+    return distinct.select("node", "v").mapInArrow(run, CODED)
+
+
+def undecided(met: DataFrame, threshold: float) -> DataFrame:
+    """(group, key, side, node) of the members of a group that have an undecided pair there, by the stored codes alone."""
+
+    def run(batches):
+        for t in whole_groups(batches):
+            for table in of_one_length(t):
+                group, side, d = table.column("group").to_numpy(), table.column("side").to_numpy(), int(table.column("d")[0].as_py())
+                c = {k: table.column(k).to_numpy() for k in ("factor", "low", "step")} | {"code": rows_of(table.column("code"), "<u8")}
+                c["planes"] = rows_of(table.column("planes"), "<u8").reshape(len(group), PLANES, -1)
+                some = np.zeros(len(group), bool)
+                for i, j in pairs(group, side):
+                    ok = possible(c, d, i, j, threshold)
+                    some[i[ok]] = some[j[ok]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[some], t) for k, t in kinds.items()], list(kinds))
+
+    kinds = {"group": pa.int64(), "key": pa.int64(), "side": pa.int32(), "node": pa.int64()}
+    return met.select("group", "key", "side", "node", "d", "code", "factor", "planes", "low", "step").mapInArrow(run, "group long, key long, side int, node long")
+
+
+def of_one_length(t: pa.Table):
+    d = t.column("d").to_numpy()
+    for k in np.unique(d).tolist():
+        yield t.filter(pa.array(d == k)) if (d != k).any() else t
+
+
+def exact(met: DataFrame, threshold: float) -> DataFrame:
+    """(node, other, n): links among undecided members, computed exactly, as a forest, and counts with ``other`` null."""
 
     def run(batches):
-        for out in grouped_batches(batches, lambda held: compare(held, threshold)):
-            yield told(out)
+        for t in whole_groups(batches):
+            for table in of_one_length(t):
+                group, side, key, node, m = (table.column(k).to_numpy() for k in ("group", "side", "key", "node", "m"))
+                x, turned = rows_of(table.column("x"), "<f8"), rows_of(table.column("turned"), "<f8")
+                count, links = np.zeros(len(group), np.int64), []
+                for i, j in pairs(group, side):
+                    near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+                    i, j = i[near], j[near]
+                    own = home(turned[i], turned[j], threshold) == key[i]
+                    i, j = i[own], j[own]
+                    count += np.bincount(i, m[j], len(group)).astype(np.int64) + np.bincount(j, m[i], len(group)).astype(np.int64)
+                    links += forest(i, j, len(group))
+                a, b = np.array(links, np.int64).reshape(-1, 2).T
+                links = forest(a, b, len(group))
+                some = np.flatnonzero(count)
+                a, b = node[[p for p, _ in links]], node[[q for _, q in links]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[some], a))), pa.array([None] * len(some) + b.tolist(), pa.int64()), pa.array(count[some].tolist() + [None] * len(a), pa.int64())], ["node", "other", "n"])
 
-    told = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["node", "other", "n"])
-    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return wide.repartition(parts, "group").sortWithinPartitions("group").select("group", "t", "side", "node", "m", "v", "keys").mapInArrow(run, "node long, other long, n long")
+    return met.select("group", "key", "side", "node", "d", "m", "x", "turned").mapInArrow(run, "node long, other long, n long")
+
+
+def links(distinct: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(node, other, n) over distinct vectors (node long, label, m long, v array<double>)."""
+    known = stored(coded(distinct), keep)
+
+    def key(batches):
+        for b in batches:
+            for where, turned in by_length(b.column(1)):
+                rows, keys = reached(turned, threshold)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where[rows])), pa.array(keys)], ["node", "key"])
+
+    sizes = distinct.select("node", "label", "m", F.size("v").alias("d"))
+    dealt = known.select("node", "turned").mapInArrow(key, "node long, key long").join(sizes.drop("m"), "node")
+    met = block_pairs(dealt, ["label", "d", "key"], "node", BLOCK).select("group", "key", "side", "node", "d")
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    sorted_by = lambda df: df.repartition(parts, "group").sortWithinPartitions("group")
+    open_ones = stored(undecided(sorted_by(met.join(known.drop("x", "turned"), "node")), threshold), keep)
+    return exact(sorted_by(open_ones.join(known.select("node", "x", "turned"), "node").join(sizes.select("node", "d", "m"), "node")), threshold)
 
 
 def near_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
+    keep: list[str] = []
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda a: a != 0), F.lit(False))
-    good = rows.where(sound).select("vec_id", "label", F.transform("v", lambda a: a + F.lit(0.0)).alias("v")).dropDuplicates(["vec_id"])
-    same = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")))
-    found = stored(links(same, threshold))
+    rows = rows.select("vec_id", "label", F.when(sound, F.transform("v", lambda a: a + F.lit(0.0))).alias("v"))
+    same = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"))
+    same = stored(same.withColumn("node", F.monotonically_increasing_id()), keep)  # written, so a node keeps its number
+    found = stored(links(same, keep, threshold), keep)
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
-    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
-    known = same.join(linked, "node", "left").join(named, "node", "left").select("label", "v", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    of = good.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    out = rows.select("vec_id").join(of, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    joined = same.join(linked, "node", "left").join(roots, "node", "left").select("label", "v", "least", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = joined.join(least, "root").select("label", "v", "n_links", "component_id")
+    out = rows.join(of, ["label", "v"], "left")
+    out = stored(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+    drop(rows.sparkSession, keep)
+    return out
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``near_components`` over embeddings: all pairs of a label."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings AS e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
