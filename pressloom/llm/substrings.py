@@ -3,21 +3,26 @@
 The texts are laid out once in chunks. Anchors (the least hash among the
 24-grams of each 100-byte window) cut a text into segments of windows with one
 anchor; a 100-byte string has its anchor at the same place wherever it occurs,
-so its occurrences meet in the anchor's bucket. There
-
-1. equal segments are found by their digests: all but the earliest go whole;
-2. where an anchor has several distinct segments, the earliest of each is sent
-   as text, and the bucket feeds them, in order, to a logarithmic family of
-   suffix arrays (``Family``): each batch gets a suffix array of its windows,
-   is merge-scanned against all levels for matches of the full length, and
-   levels of like size merge, so a bucket costs O(n log n);
-3. an anchor with very many distinct segments (the border of a passage that a
-   share of all documents holds) is no single group: its windows are dealt out
-   by their own digests instead.
-
-Chunks send each distinct segment or window once, which combines hot passages
-before the shuffle. Marks return to their chunk, where they are united. Order
-is (doc_id, start); a null ``doc_id`` counts as the smallest, and rows that
+so its occurrences meet in the anchor's bucket. Hashes only say where strings
+meet: what goes is decided by comparing bytes.
+
+1. A chunk sends the anchors of its distinct segments, and learns which of them
+   are found elsewhere as well.
+2. It sends the segments of those as text. In a bucket they are sorted; of equal
+   ones all but the earliest go whole. Where an anchor has several distinct
+   segments, they are fed, in order, to a logarithmic index family
+   (``Family``): each batch gets a suffix array of its windows, is merge-scanned
+   against all levels for matches of the full length, and becomes a level
+   itself; levels of like size merge, so a bucket costs O(n log n).
+3. An anchor with very many distinct segments (the border of a passage that a
+   share of all documents holds) is no single group: its windows are sent one by
+   one, dealt out by a hash of each, and compared by the same family.
+
+A chunk sends each distinct segment or window once, which combines hot passages
+before the shuffle. Buckets hold some ``BUCKET`` bytes of text whatever the size
+of the corpus; many of them share a partition, which is sorted by bucket and
+read one bucket at a time. Marks return to their chunk, where they are united.
+Order is (doc_id, start); a null ``doc_id`` counts as the smallest, and rows that
 repeat a ``doc_id`` as different documents in the order of the layout.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; a
@@ -37,14 +42,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import drop, runs, shared_dir, stored
 
 LENGTH, GRAM = 100, 24
 CHUNK, BLOCK = 1 << 20, 1 << 20
-#: Distinct segments of one anchor, in a chunk and in a bucket, beyond which its windows are dealt by themselves.
-HOT_IN_CHUNK, HOT_IN_BUCKET = 16, 2048
-#: Windows in a batch of a family, windows beyond which a bucket's next family begins, parts of a bucket; bytes of text for one bucket.
-BATCH, FAMILY, PARTS, BUCKET = 1 << 15, 1 << 17, 256, 24 << 20
+#: Distinct segments of one anchor beyond which its windows are dealt out one by one; the comparison is the same.
+HOT = 2048
+#: Windows in a batch of a family, windows beyond which a bucket's next family begins (between anchors), parts of a bucket; bytes of text for one bucket; most partitions.
+BATCH, FAMILY, PARTS, BUCKET, PARTITIONS = 1 << 15, 1 << 17, 256, 16 << 20, 16384
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -146,8 +151,8 @@ def unblob(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 SENT = "kind string, bucket int, chunk long, data binary"
-#: Layouts: sent segments; marks; segments to resolve by text or by window; sent windows.
-SEGMENT, MARK, ASK, WINDOW = ("<u8", "<u8", "<u4", "<u1", "<i8"), ("<u4", "<u4"), ("<u4", "<u1", "<u8"), ("<u8", "<u8", "<u4", "<i8")
+#: Layouts: sent anchors; marks; segments to send as text, or window by window.
+ANCHOR, MARK, ASK = ("<u8", "<u4", "<u1"), ("<u4", "<u4"), ("<u4", "<u1", "<u8")
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,29 +169,17 @@ def by_bucket(kind: str, chunk: int, key: np.ndarray, buckets: int, *arrays: np.
         yield kind, int(to[own[0]]), chunk, blob(*(x[own] for x in arrays))
 
 
-def send_segments(chunk: int, data: bytes, buckets: int) -> list[tuple]:
-    """Each distinct segment of a chunk to its anchor's bucket; marks on what repeats inside of the chunk."""
-    _, ids, raw, bounds = opened(data)
+def send_anchors(chunk: int, data: bytes, buckets: int) -> list[tuple]:
+    """The anchor of each distinct segment of a chunk to its bucket; marks on segments that repeat inside of the chunk."""
+    _, _, raw, bounds = opened(data)
     start, windows, anchor = segments(raw, bounds)
     if not len(start):
         return []
-    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-    prints = np.array([digest(view[a:b]) for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())], np.uint64)
-    _, first = np.unique(prints, return_index=True)
-    new = np.zeros(len(start), bool)
-    new[first] = True
+    whole = raw.tobytes()
+    first: dict[bytes, int] = {}
+    new = np.array([first.setdefault(whole[a:b], a) == a for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())], bool)
     rows = [("M", 0, chunk, blob(start[~new].astype("<u4"), (windows[~new] + LENGTH - 1).astype("<u4")))] if not new.all() else []
-    start, windows, anchor, prints = start[new], windows[new], anchor[new], prints[new]
-    doc = ids[np.searchsorted(bounds, start, "right") - 1]
-    _, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
-    hot = many[which] > HOT_IN_CHUNK
-    if hot.any():
-        rows.append(("W", 0, chunk, blob(start[hot].astype("<u4"), windows[hot].astype("<u1"), anchor[hot])))
-        told = np.unique(anchor[hot])
-        zero = np.zeros(len(told), np.int64)
-        rows += by_bucket("H", chunk, told, buckets, told, zero.astype("<u8"), zero.astype("<u4"), zero.astype("<u1"), zero.astype("<i8"))
-    cool = ~hot
-    return rows + list(by_bucket("S", chunk, anchor[cool], buckets, anchor[cool], prints[cool], start[cool].astype("<u4"), windows[cool].astype("<u1"), doc[cool].astype("<i8")))
+    return rows + list(by_bucket("S", chunk, anchor[new], buckets, anchor[new], start[new].astype("<u4"), windows[new].astype("<u1")))
 
 
 def by_chunk(kind: str, chunks: np.ndarray, *arrays: np.ndarray):
@@ -204,71 +197,56 @@ def gathered(rows: list[tuple], kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [chunks, *(np.concatenate([p[k] for p in parts]) for k in range(len(kinds)))]
 
 
-def resolve_segments(segs: list[tuple], hots: list[tuple]) -> list[tuple]:
-    """Marks on segments seen earlier; which others must be compared by text (A) or by window (W)."""
-    if not segs:
-        return []
-    chunk, anchor, prints, start, windows, doc = gathered(segs, SEGMENT)
-    order = np.lexsort((start, chunk, doc, prints, anchor))
-    chunk, anchor, prints, start, windows, doc = (x[order] for x in (chunk, anchor, prints, start, windows, doc))
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (prints[1:] != prints[:-1])
-    out = list(by_chunk("M", chunk[~new], start[~new], (windows[~new].astype("<u4") + np.uint32(LENGTH - 1)))) if not new.all() else []
-    chunk, anchor, start, windows = chunk[new], anchor[new], start[new], windows[new]
+def resolve_anchors(rows: list[tuple]) -> list[tuple]:
+    """Which segments share their anchor, so that they must be compared as text (A) or window by window (W)."""
+    chunk, anchor, start, windows = gathered(rows, ANCHOR)
     _, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
-    hot = many[which] > HOT_IN_BUCKET
-    if hots:
-        hot |= np.isin(anchor, gathered(hots, SEGMENT)[1])
-    for kind, own in (("W", hot), ("A", ~hot & (many[which] > 1))):
+    many, out = many[which], []
+    for kind, own in (("A", (many > 1) & (many <= HOT)), ("W", many > HOT)):
         if own.any():
             out += by_chunk(kind, chunk[own], start[own], windows[own], anchor[own])
     return out
 
 
-def send_windows(chunk: int, data: bytes, asked: list[tuple[str, bytes]], buckets: int) -> list[tuple]:
+def send_texts(chunk: int, data: bytes, asked: list[tuple[str, bytes]], buckets: int) -> list[tuple]:
+    """The text of the segments asked for, by the bucket of their anchor, or of their windows, by a hash of each."""
     _, ids, raw, bounds = opened(data)
-    rows, view = [], memoryview(raw)
+    rows, whole = [], raw.tobytes()
     for kind in "AW":
         parts = [unblob(d, *ASK)[:-1] for k, d in asked if k == kind]
         if not parts:
             continue
-        start, windows, anchor = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        start, windows, route = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.argsort(start, kind="stable")
-        start, windows, anchor = start[order].astype(np.int64), windows[order].astype(np.int64), anchor[order]
-        if kind == "A":
-            doc = ids[np.searchsorted(bounds, start, "right") - 1]
-            to = (anchor % np.uint64(buckets)).astype(np.int64)
-            for bucket in np.unique(to).tolist():
-                own = np.flatnonzero(to == bucket)
-                part = (anchor[own] >> np.uint64(40)) % np.uint64(PARTS)
-                head = np.array([len(own)], "<u8").tobytes() + b"".join(x.tobytes() for x in (start[own].astype("<u4"), windows[own].astype("<u1"), doc[own].astype("<i8"), part.astype("<u1")))
-                text = b"".join([view[a:b] for a, b in zip(start[own].tolist(), (start[own] + windows[own] + LENGTH - 1).tolist())])
-                rows.append(("A", bucket, chunk, zstandard.ZstdCompressor(level=1).compress(head + text)))
-            continue
-        at = np.repeat(start - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-        digest = xxhash.xxh3_128_digest
-        prints = np.frombuffer(b"".join([digest(view[a : a + LENGTH]) for a in at.tolist()]), "<u8").reshape(-1, 2)
-        order = np.lexsort((at, prints[:, 1], prints[:, 0]))
-        prints, at = prints[order], at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (prints[1:] != prints[:-1]).any(1)
-        if not new.all():
-            rows.append(("M", 0, chunk, blob(at[~new].astype("<u4"), np.full((~new).sum(), LENGTH, "<u4"))))
-        prints, at = prints[new], at[new]
-        order = np.argsort(at)
-        prints, at = prints[order], at[order]
-        doc = ids[np.searchsorted(bounds, at, "right") - 1]
-        rows += by_bucket("W", chunk, prints[:, 0], buckets, prints[:, 0], prints[:, 1], at.astype("<u4"), doc.astype("<i8"))
+        start, windows, route = start[order].astype(np.int64), windows[order].astype(np.int64), route[order]
+        if kind == "W":
+            start = np.repeat(start - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+            first: dict[bytes, int] = {}
+            new = np.array([first.setdefault(whole[a : a + LENGTH], a) == a for a in start.tolist()], bool)
+            if not new.all():
+                rows.append(("M", 0, chunk, blob(start[~new].astype("<u4"), np.full((~new).sum(), LENGTH, "<u4"))))
+            start = start[new]
+            windows, route = np.ones(len(start), np.int64), np.array([xxhash.xxh3_64_intdigest(whole[a : a + LENGTH]) for a in start.tolist()], np.uint64)
+        doc = ids[np.searchsorted(bounds, start, "right") - 1]
+        to = (route % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        for a, b in zip(cuts := runs(to[order]), cuts[1:]):
+            own = order[a:b]
+            part = (route[own] >> np.uint64(40)) % np.uint64(PARTS)
+            head = np.array([len(own)], "<u8").tobytes() + b"".join(x.tobytes() for x in (start[own].astype("<u4"), windows[own].astype("<u1"), doc[own].astype("<i8"), part.astype("<u1")))
+            text = b"".join([whole[x:y] for x, y in zip(start[own].tolist(), (start[own] + windows[own] + LENGTH - 1).tolist())])
+            rows.append(("T", int(to[own[0]]), chunk, zstandard.ZstdCompressor(level=1).compress(head + text)))
     return rows
 
 
 class Family:
     """A logarithmic family of suffix arrays over windows of ``LENGTH`` bytes.
 
-    A level is the sorted array of its distinct windows. ``add`` sorts a batch
-    (its suffix array), scans it against every level and tells which windows
-    are new; what is new becomes a level, and levels no larger than the newest
-    merge into it, so there are logarithmically many.
+    A level is the array of its distinct windows in order. ``add`` sorts a batch
+    (its suffix array, to the length sought), scans it together with every level
+    as two sorted runs are merged, and tells which windows no level and no
+    earlier place in the batch holds; those become a level, and levels no larger
+    than the newest merge into it, so there are logarithmically many.
     """
 
     def __init__(self):
@@ -280,20 +258,31 @@ class Family:
         first = np.ones(len(ranked), bool)
         first[1:] = ranked[1:] != ranked[:-1]
         for level in self.levels:
-            at = np.searchsorted(level, ranked)
-            at[at == len(level)] = 0
-            first &= level[at] != ranked
+            first &= ~scanned(level, ranked)
         new = np.zeros(len(windows), bool)
         new[order] = first
         level = ranked[first]
         while self.levels and len(self.levels[-1]) <= 2 * len(level):
             level = np.concatenate((self.levels.pop(), level))
-            level.sort(kind="stable")
+            level.sort(kind="stable")  # two runs: a merge
         if len(level):
             self.levels.append(level)
         return new
 
 
+def scanned(level: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which of the sorted windows a level holds: one pass over both, merged."""
+    both = np.concatenate((level, ranked))
+    order = np.argsort(both, kind="stable")  # two runs; of equal windows the level's comes first
+    merged = both[order]
+    head = np.ones(len(merged), bool)
+    head[1:] = merged[1:] != merged[:-1]
+    held = (order < len(level))[np.flatnonzero(head)][np.cumsum(head) - 1]
+    out = np.zeros(len(both), bool)
+    out[order] = held
+    return out[len(level) :]
+
+
 def windows_of(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All windows of the segments (concatenated, of so many windows each), in order."""
     ends = np.cumsum(sizes + LENGTH - 1)
@@ -301,27 +290,24 @@ def windows_of(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(text, LENGTH)[begins].copy().view(f"S{LENGTH}").ravel()
 
 
-def resolve_windows(texts: list[tuple], prints: list[tuple]) -> list[tuple]:
-    """Marks on windows seen earlier: of the segments sent as text, and of those dealt out by window."""
-    out = []
-    if prints:
-        chunk, h1, h2, at, doc = gathered(prints, WINDOW)
-        order = np.lexsort((at, chunk, doc, h2, h1))
-        chunk, h1, h2, at = chunk[order], h1[order], h2[order], at[order]
-        old = np.zeros(len(at), bool)
-        old[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        out += by_chunk("M", chunk[old], at[old], np.full(old.sum(), LENGTH, "<u4"))
-    if texts:
-        parts = [unblob(data, "<u4", "<u1", "<i8", "<u1") for _, data in texts]
-        chunk = np.repeat(np.array([c for c, _ in texts], np.int64), [len(p[0]) for p in parts])
-        start, sizes, doc, part = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
-        raw = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
-        begin = np.concatenate(([0], np.cumsum(sizes + LENGTH - 1)))[:-1]
-        order = np.lexsort((start, chunk, doc, part))
-        for own in families(order, part, sizes):
-            old = repeated(own, begin, sizes, raw)
-            where, first, n = old_runs(own, sizes, old)
-            out += by_chunk("M", chunk[where], (start[where] + first).astype("<u4"), (n + LENGTH - 1).astype("<u4"))
+def resolve_texts(texts: list[tuple]) -> list[tuple]:
+    """Marks on what is seen earlier: equal segments whole, then windows of segments that differ."""
+    parts = [unblob(data, "<u4", "<u1", "<i8", "<u1") for _, data in texts]
+    chunk = np.repeat(np.array([c for c, _ in texts], np.int64), [len(p[0]) for p in parts])
+    start, sizes, doc, part = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+    raw = b"".join(p[4] for p in parts)
+    ends = np.cumsum(sizes + LENGTH - 1)
+    begin = ends - sizes - LENGTH + 1
+    order = np.lexsort((start, chunk, doc, part))
+    first: dict[bytes, int] = {}
+    new = np.array([first.setdefault(raw[a:b], k) == k for k, a, b in zip(order.tolist(), begin[order].tolist(), ends[order].tolist())], bool)
+    old = order[~new]
+    out = list(by_chunk("M", chunk[old], start[old].astype("<u4"), (sizes[old] + LENGTH - 1).astype("<u4"))) if len(old) else []
+    order, raw = order[new], np.frombuffer(raw, np.uint8)
+    for own in families(order, part, sizes):
+        if len(own) > 1:
+            where, at, n = old_runs(own, sizes, repeated(own, begin, sizes, raw))
+            out += by_chunk("M", chunk[where], (start[where] + at).astype("<u4"), (n + LENGTH - 1).astype("<u4"))
     return out
 
 
@@ -361,26 +347,31 @@ def old_runs(own: np.ndarray, sizes: np.ndarray, old: np.ndarray) -> tuple[np.nd
     return own[segment], starts - firsts[segment], np.flatnonzero(ends) - starts + 1
 
 
-def exchanged(send: DataFrame, buckets: int, resolve, first: str, second: str) -> DataFrame:
-    """Deal what the chunks send to their buckets, resolve there; marks and questions pass through."""
+def exchanged(send: DataFrame, buckets: int, resolve, kind: str) -> DataFrame:
+    """Deal what the chunks send to their buckets, resolve there, a bucket at a time; marks pass through."""
 
     def run(batches):
-        held: dict[str, list[tuple]] = {first: [], second: []}
+        held: list[tuple] = []
+        at = None
         for b in batches:
             passed = []
-            for kind, bucket, chunk, data in zip(*(c.to_pylist() for c in b.columns)):
-                if kind in held:
-                    held[kind].append((chunk, data))
-                else:
-                    passed.append((kind, bucket, chunk, data))
+            for own, bucket, chunk, data in zip(*(c.to_pylist() for c in b.columns)):
+                if own != kind:
+                    passed.append((own, bucket, chunk, data))
+                    continue
+                if bucket != at and held:
+                    yield sent(resolve(held))
+                    held = []
+                held.append((chunk, data))
+                at = bucket
             if passed:
                 yield sent(passed)
-        if rows := resolve(held[first], held[second]):
-            yield sent(rows)
+        if held:
+            yield sent(resolve(held))
 
-    # a bucket is a partition, so a task holds one at most
-    dealt = send.repartitionById(buckets, F.when(F.col("kind").isin(first, second), F.col("bucket")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")))
-    return dealt.mapInArrow(run, SENT)
+    n = min(buckets, PARTITIONS)
+    to = F.when(F.col("kind") == kind, F.col("bucket") % n).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(n))).cast("int")
+    return send.repartitionById(n, to).sortWithinPartitions("kind", "bucket").mapInArrow(run, SENT)
 
 
 def marked(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -392,17 +383,17 @@ def marked(docs: DataFrame, keep: list[str]) -> DataFrame:
     def first(batches):
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1)):
-                yield sent(send_segments(chunk, data.as_buffer(), buckets))
+                yield sent(send_anchors(chunk, data.as_buffer(), buckets))
 
     def second(batches):
         for b in batches:
             for chunk, data, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                yield sent(send_windows(chunk, data.as_buffer(), [(x["kind"], x["data"]) for x in asked.as_py()], buckets))
+                yield sent(send_texts(chunk, data.as_buffer(), [(x["kind"], x["data"]) for x in asked.as_py()], buckets))
 
-    one = stored(exchanged(chunks.select("chunk", "data").mapInArrow(first, SENT), buckets, resolve_segments, "S", "H"), keep)
+    one = stored(exchanged(chunks.select("chunk", "data").mapInArrow(first, SENT), buckets, resolve_anchors, "S"), keep)
     asked = one.where("kind IN ('A', 'W')").groupBy("chunk").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
     two = chunks.select("chunk", "data").join(asked, "chunk").mapInArrow(second, SENT)
-    two = stored(exchanged(two, buckets, resolve_windows, "A", "W"), keep)
+    two = stored(exchanged(two, buckets, resolve_texts, "T"), keep)
     marks = one.where("kind = 'M'").unionByName(two.where("kind = 'M'")).groupBy("chunk").agg(F.collect_list("data").alias("marks"))
     return chunks.select("chunk", "data").join(marks, "chunk", "left").select("data", "marks")
 
@@ -435,7 +426,9 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pc.cast(table.column("doc_id").combine_chunks(), pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return marked(slim, keep).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = stored(marked(slim, keep).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    drop(docs.sparkSession, keep)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -461,4 +454,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         table = table.set_column(at, table.schema.field("n_chars"), pa.array(counts, table.schema.field("n_chars").type))
                 yield from table.to_batches()
 
-    return marked(docs, keep).mapInArrow(run, docs.schema)
+    out = stored(marked(docs, keep).mapInArrow(run, docs.schema))
+    drop(docs.sparkSession, keep)
+    return out

@@ -157,7 +157,7 @@ def digests(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(df).collect()}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 2000, "BUCKET": 4000, "BATCH": 64, "FAMILY": 200}, {"CHUNK": 5000, "BUCKET": 10_000, "HOT_IN_CHUNK": 1, "HOT_IN_BUCKET": 1}, {"BLOCK": 512, "HOT_IN_CHUNK": 3, "BATCH": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 2000, "BUCKET": 4000, "BATCH": 64, "FAMILY": 200}, {"CHUNK": 5000, "BUCKET": 10_000, "HOT": 1, "PARTITIONS": 3}, {"BLOCK": 512, "HOT": 3, "BATCH": 1}])
 def test_substrings_match_brute_force(spark, monkeypatch, sizes):
     for k, v in sizes.items():
         monkeypatch.setattr(substrings, k, v)
@@ -166,7 +166,7 @@ def test_substrings_match_brute_force(spark, monkeypatch, sizes):
 
 
 def test_hot_passage_in_every_text(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_IN_BUCKET", 8)
+    monkeypatch.setattr(substrings, "HOT", 8)
     monkeypatch.setattr(substrings, "CHUNK", 1000)
     rng = random.Random(4)
     hot = prose(60, rng)
@@ -178,10 +178,30 @@ def test_substrings_of_odd_rows(spark):
     text = prose(50)
     out = sorted(substrings.digests(table(spark, [(None, text), (None, None), (7, text), (7, text), (1, "x")])).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_removed))
     n = len(text.encode())
-    assert [(r.doc_id, r.n_bytes, r.n_removed) for r in out] == [(None, n, 0), (None, 0, 0), (1, 1, 0), (7, n, n), (7, n, n)] or [(r.doc_id, r.n_removed) for r in out][2:] == [(1, 0), (7, n), (7, n)]
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in out) == [("1", 1, 0), ("7", n, n), ("7", n, n), ("None", 0, 0), ("None", n, 0)]
     assert substrings.digests(table(spark, [])).count() == 0
 
 
+def test_families_and_scans():
+    rng = np.random.default_rng(3)
+    windows = np.array([bytes(rng.integers(0, 3, 6, np.uint8)).ljust(100, b"q") for _ in range(900)], "S100")
+    family, seen = substrings.Family(), set()
+    for at in range(0, len(windows), 70):
+        batch = windows[at : at + 70]
+        assert family.add(batch).tolist() == [not (w in seen or seen.add(w)) for w in batch.tolist()]
+        sizes = [len(level) for level in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and all((level[1:] > level[:-1]).all() for level in family.levels)
+
+
+def test_substrings_of_long_texts_and_clashes(spark):
+    long = prose(60_000)
+    df = spark.createDataFrame([(1, long, "a", 5), (2, "x" + long, "b", 6), (3, "z" * 400_000, None, None)], "doc_id long, text string, marks string, bucket int")
+    out = {r.doc_id: r for r in substrings.digests(df).collect()}
+    n = len(long.encode())
+    assert out[1].n_removed == 0 and (out[2].n_bytes, out[2].n_removed, out[2].n_spans) == (n + 1, n, 1) and out[3].n_removed == 399_999
+    assert substrings.without_repeats(df).columns == df.columns and {r.doc_id: r.text for r in substrings.without_repeats(df).collect()}[2] == "x"
+
+
 def test_texts_without_repeats(spark):
     passage = prose(40)
     df = spark.createDataFrame([(1, "a " + passage + " b", "de", 9, 1), (2, "c " + passage + " d", None, None, 2), (3, None, "x", 5, 3)], "doc_id long, text string, lang string, n_chars long, chunk int")
