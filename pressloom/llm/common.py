@@ -13,17 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where it is unset and all runs on one machine (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     made = "file://" + tempfile.mkdtemp(prefix="pressloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -103,24 +109,44 @@ def block_pairs(dealt: DataFrame, bucket: list[str], node: str, block: int) -> D
     return placed.withColumn("__p", F.explode(met)).withColumns({"group": F.xxhash64(*bucket, "__p.i", "__p.j"), "side": F.col("__p.side")}).drop("__blocks", "__b", "__p")
 
 
-def grouped_batches(batches, then):
-    """``then(tables)`` for each run of equal ``group`` values in a stream of record batches; yields what it returns, once a batch."""
+def whole_groups(batches):
+    """Tables that hold all rows of each of their groups, from batches in order of ``group``."""
     held: list[pa.Table] = []
-    last = None
     for b in batches:
         t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
         group = t.column("group").to_numpy()
-        cuts = runs(group)
-        out = []
-        for x, y in zip(cuts, cuts[1:]):
-            if held and group[x] != last:
-                out += then(held)
-                held = []
-            held.append(t.slice(x, y - x))
-            last = group[x]
-        yield out
+        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+        if held and group[0] != held[-1].column("group")[-1].as_py():
+            yield pa.concat_tables(held)
+            held = []
+        if cut:
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held = []
+        held.append(t.slice(cut))
     if held:
-        yield then(held)
+        yield pa.concat_tables(held)
+
+
+def pairs(group: np.ndarray, side: np.ndarray):
+    """Index pairs that meet: within a group, from both sides or within a block that meets itself; some ``PAIRS`` at a time."""
+    at, k, lefts, rights, n = np.arange(len(group)), 0, [], [], 0
+    while True:
+        k += 1
+        at = at[at + k < len(group)]
+        at = at[group[at + k] == group[at]]
+        if not len(at):
+            break
+        ok = at[(side[at] == 2) | (side[at] != side[at + k])]
+        lefts.append(ok)
+        rights.append(ok + k)
+        n += len(ok)
+        if n >= PAIRS:
+            yield np.concatenate(lefts), np.concatenate(rights)
+            lefts, rights, n = [], [], 0
+    if n:
+        yield np.concatenate(lefts), np.concatenate(rights)
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:

@@ -7,10 +7,9 @@ Seven tables keep the bits picked by a structured mask each: bit ``i`` carries
 a nonzero vector ``m(i)`` of three bits, and table ``v`` keeps the bits with
 odd ``<m(i), v>``. Two differing bits span at most two dimensions, so some
 ``v`` is orthogonal to both and its table maps the two fingerprints to one
-bucket: no pair within the radius is missed. What shares no bucket in any table
-is done. The rest are linked without emitting the pairs of a bucket: each
-fingerprint names itself and its 64 one-bit neighbours, and those naming a
-common word are within two bits of each other; a word has at most 65 names.
+bucket: no pair within the radius is missed. The links come out of the buckets:
+one of any size is cut into blocks that are compared two by two, and tasks
+return a spanning forest, never pairs.
 
 ``similar_groups`` links texts whose sets of shingles have a Jaccard similarity
 of 0.8 or more, which is far beyond two bits. Candidates come from fingerprints
@@ -18,11 +17,13 @@ of 256 bits that differ in no more than all but some 3 in 100,000 pairs at the
 similarity sought do (``widest``). Their first bits are cut into ``STRIPES``
 stripes with covering masks each: a stripe of ``d`` dimensions has ``2^d - 1``
 tables and misses no pair with less than ``d`` differing bits in it, so no pair
-with less than ``d * STRIPES`` in all; pairs at the similarity sought share a
-table with 98 %, closer ones with more. A bucket of any size is cut into blocks
-that are compared two by two; tasks return a spanning forest, never pairs. Then
-every pair of texts that candidates connect is decided by the shingle sets
-themselves, block by block again, and only what reaches the similarity links.
+with less than ``d * STRIPES`` in all. ``d`` is three, and more for corpora of
+which three would fill the buckets; whatever it is, pairs at the similarity
+sought share a table with 97 % or more (``tests`` measure it), closer ones with
+more. Candidates only say which texts are compared: within what they connect,
+pairs with fingerprints that near are decided by the shingle sets themselves,
+nearest first, block by block, and only what reaches the similarity links. Texts
+are sent only to blocks in which they have such a pair.
 
 Defined results: a null or word-less text has fingerprint zero, linked like any
 other; a null ``doc_id`` has a fingerprint, but takes no part in links and its
@@ -40,13 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, forest, grouped_batches, stored
+from .common import block_pairs, components, drop, forest, pairs, runs, stored, whole_groups
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: The wide fingerprint's 64-bit parts, its stripes, rows of a block of fingerprints, and of one of texts.
 LANES, STRIPES, ROWS, TEXTS = 4, 7, 4096, 512
 _ODD = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
-ONE_BITS = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 BLOCK = 1 << 18
 
 
@@ -127,27 +127,56 @@ def covering_masks(bits: int = 64) -> list[int]:
     return masks
 
 
+def close(t: pa.Table, columns: list[str], most: int):
+    """(i, j) of the pairs of a table of whole groups whose fingerprints differ in at most so many bits, some at a time."""
+    wide = np.stack([t.column(c).to_numpy() for c in columns], 1).view(np.uint64)
+    for i, j in pairs(t.column("group").to_numpy(), t.column("side").to_numpy()):
+        far = np.zeros(len(i), np.uint16)
+        for k in range(len(columns)):
+            far += np.bitwise_count(wide[i, k] ^ wide[j, k])
+        near = far <= most
+        yield i[near], j[near]
+
+
+def bucket_links(dealt: DataFrame, bucket: list[str], node: str, columns: list[str], most: int) -> DataFrame:
+    """Links (a, b) that join what is close within the buckets: a spanning forest for each block pair."""
+
+    def run(batches):
+        for t in whole_groups(batches):
+            nodes, found = t.column("node").to_numpy(), []
+            for i, j in close(t, columns, most):
+                found += forest(i, j, t.num_rows)
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            links = np.array(forest(a, b, t.num_rows), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["a", "b"])
+
+    met = block_pairs(dealt, bucket, node, ROWS).select("group", "side", F.col(node).alias("node"), *[F.col(c) for c in columns if c != "node"])
+    return by_group(met).mapInArrow(run, "a long, b long")
+
+
+def by_group(met: DataFrame) -> DataFrame:
+    return met.repartition(max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), "group").sortWithinPartitions("group")
+
+
 def near_edges(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all of the distinct ``fp`` within two bits of each other; every link is such a pair."""
     tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks()])).alias("t", "k"))
-    full = tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k")
-    near = tables.join(full, ["t", "k"], "left_semi").select("fp").distinct()
-    balls = near.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(b)) for b in ONE_BITS])).alias("word"))
-    # at most 65 names for each word, so the list is bounded by geometry
-    named = balls.groupBy("word").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return named.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    return bucket_links(tables, ["t", "k"], "fp", ["node"], RADIUS)
 
 
 def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    prints = stored(fingerprints(docs, words))
+    keep: list[str] = []
+    prints = stored(fingerprints(docs, words), keep)
     known = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_edges(known.select("fp")))
     grouped = known.join(roots, known.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of = grouped.join(least, "root").select("fp", "component_id")
     out = prints.join(of, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = stored(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    drop(docs.sparkSession, keep)
+    return out
 
 
 def widest(similarity: float) -> int:
@@ -172,52 +201,34 @@ def stripe_keys(wide: np.ndarray, d: int) -> np.ndarray:
     return np.hstack([x[:, None] & masks for x in stripes])
 
 
-def candidate_links(rows: list[pa.Table], most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the candidates within one block, or between two."""
-    t = pa.concat_tables(rows)
-    side, node = (t.column(c).to_numpy() for c in ("side", "node"))
-    wide = np.stack([t.column(f"w{k}").to_numpy() for k in range(LANES)], 1).view(np.uint64)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found: list[tuple[int, int]] = []
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        far = np.zeros((len(own), len(right)), np.uint16)
-        for k in range(LANES):
-            far += np.bitwise_count(wide[own, k][:, None] ^ wide[right, k][None, :])
-        i, j = np.nonzero(far <= most)
-        i, j = own[i], right[j]
-        found += forest(i[i != j], j[i != j], len(t))
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return [(int(node[x]), int(node[y])) for x, y in forest(a, b, len(t))]
-
-
-def similar_links(rows: list[pa.Table], words: int, similarity: float) -> list[tuple[int, int]]:
+def similar_links(t: pa.Table, words: int, similarity: float, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of texts at the similarity within one block, or between two, by their shingle sets."""
-    t = pa.concat_tables(rows).select(["side", "node", "s0", "s1", "text"])
-    seen, sides, nodes, sets = set(), [], [], []
-    for b in t.to_batches(max_chunksize=64):
-        for side, node, s0, s1, text in zip(*(c.to_pylist() for c in b.columns)):
+    lanes = [f"w{k}" for k in range(LANES)]
+    seen, sides, nodes, sets, wide = set(), [], [], [], []
+    for b in t.select(["side", "node", "s0", "s1", "text", *lanes]).to_batches(max_chunksize=64):
+        for side, node, s0, s1, text, *w in zip(*(c.to_pylist() for c in b.columns)):
             # a repeated doc_id brings other texts along, or the same one again
-            if (node, s0, s1) not in seen and set_digest(h := shingle_set(text, words)) == (s0, s1) and len(h):
-                seen.add((node, s0, s1))
+            if (side, node, s0, s1) not in seen and set_digest(h := shingle_set(text, words)) == (s0, s1) and len(h):
+                seen.add((side, node, s0, s1))
                 sides.append(side)
                 nodes.append(node)
                 sets.append(h)
-    left, right = [k for k, x in enumerate(sides) if x != 1], [k for k, x in enumerate(sides) if x != 0]
-    if not left or not right:
+                wide.append(w)
+    left, right = [k for k, x in enumerate(sides) if x != 1], np.array([k for k, x in enumerate(sides) if x != 0], np.int64)
+    if not left or not len(right):
         return []
-    sizes = np.array([len(h) for h in sets], np.int64)
-    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(ids, np.cumsum(sizes)[:-1])
-    far, starts = np.concatenate([own[k] for k in right]), np.concatenate(([0], np.cumsum(sizes[right])[:-1]))
-    right, group, found = np.array(right), np.arange(len(sets)), []
+    wide = np.array(wide, np.int64).view(np.uint64)
+    sizes, group, found = np.array([len(h) for h in sets], np.int64), np.arange(len(sets)), []
     for i in left:
-        inside = np.zeros(len(known), bool)
-        inside[own[i]] = True
-        both = np.add.reduceat(inside[far], starts, dtype=np.int64)
-        near = right[both >= similarity * (sizes[i] + sizes[right] - both) - 1e-9]
-        for j in near[group[near] != group[i]].tolist():
-            if group[i] != group[j]:
+        open_ones = right[(group[right] != group[i]) & (np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i]) - 1e-9)]
+        far = np.bitwise_count(wide[open_ones] ^ wide[i]).sum(1, dtype=np.int64)
+        for j in open_ones[np.argsort(far, kind="stable")][: int((far <= most).sum())].tolist():
+            if group[i] == group[j]:
+                continue
+            at = np.searchsorted(sets[i], sets[j])
+            at[at == sizes[i]] = 0
+            both = int((sets[i][at] == sets[j]).sum())
+            if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
                 group[group == group[j]] = group[i]
                 found.append((nodes[i], nodes[j]))
     return found
@@ -225,6 +236,10 @@ def similar_links(rows: list[pa.Table], words: int, similarity: float) -> list[t
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``; texts without a word form one group."""
+    keep: list[str] = []
+    most = widest(similarity)
+    lanes, digest = [f"w{k}" for k in range(LANES)], ["s0", "s1"]
+    of = ", ".join(f"{c} long" for c in lanes)
 
     def prints(batches):
         for b in batches:
@@ -233,12 +248,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             s = np.array([set_digest(h) for h in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)], *[pa.array(s[:, k]) for k in range(2)]], ["doc_id", *lanes, *digest])
 
-    lanes, digest = [f"w{k}" for k in range(LANES)], ["s0", "s1"]
-    of = ", ".join(f"{c} long" for c in lanes)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wide = stored(texts.mapInArrow(prints, f"doc_id long, {of}, s0 long, s1 long"))
-    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*digest, *lanes).agg(F.min("doc_id").alias("node")))
-    d, most = dimensions(known.count()), widest(similarity)
+    wide = stored(texts.mapInArrow(prints, f"doc_id long, {of}, s0 long, s1 long"), keep)
+    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*digest, *lanes).agg(F.min("doc_id").alias("node")), keep)
+    d = dimensions(known.count())
 
     def keys(batches):
         for b in batches:
@@ -246,24 +259,32 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             k = stripe_keys(x, d)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.int64()))], ["node", *lanes, "keys"])
 
-    def linked(met: DataFrame, then) -> DataFrame:
-        def compare(batches):
-            for out in grouped_batches(batches, then):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+    def open_ones(batches):
+        for t in whole_groups(batches):
+            some = np.zeros(t.num_rows, bool)
+            for i, j in close(t, lanes, most):
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[some]) for c in names], names)
 
-        return met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    def decide(batches):
+        for t in whole_groups(batches):
+            group = t.column("group").to_numpy()
+            for a, b in zip(cuts := runs(group), cuts[1:]):
+                links = similar_links(t.slice(a, b - a), words, similarity, most)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in links], pa.int64()) for k in range(2)], ["a", "b"])
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     dealt = known.select("node", *lanes).mapInArrow(keys, f"node long, {of}, keys array<long>").select("node", *lanes, F.posexplode("keys").alias("t", "key"))
-    met = block_pairs(dealt, ["t", "key"], "node", ROWS).select("group", "side", "node", *lanes)
-    likely = components(linked(met, lambda held: candidate_links(held, most)))
-    dealt = stored(known.join(likely, "node").select("node", *digest, "root"))
-    met = block_pairs(dealt, ["root"], "node", TEXTS).select("group", "side", "node", *digest)
-    met = met.join(texts.withColumnRenamed("doc_id", "node"), "node").select("group", "side", "node", *digest, "text")
-    roots = components(linked(met, lambda held: similar_links(held, words, similarity)))
+    likely = components(bucket_links(dealt, ["t", "key"], "node", lanes, most))
+    names = ["group", "side", "node", *digest, *lanes]
+    met = block_pairs(known.join(likely, "node"), ["root"], "node", TEXTS).select(*names)
+    met = stored(by_group(met).mapInArrow(open_ones, f"group long, side int, node long, s0 long, s1 long, {of}"), keep)
+    met = met.join(texts.withColumnRenamed("doc_id", "node"), "node").select(*names, "text")
+    roots = components(by_group(met).mapInArrow(decide, "a long, b long"))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = known.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select(*digest, F.coalesce("component_id", "node").alias("component_id"))
-    return wide.join(named, digest, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = stored(wide.join(named, digest, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    drop(docs.sparkSession, keep)
+    return out
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

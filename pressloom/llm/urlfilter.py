@@ -1,6 +1,8 @@
 """URL filters: rules by longest match, else a path-template tree learned per host.
 
-Main path: DataFrame functions only. The tree: path segments of a variable
+Main path: DataFrame functions only. The tree has a level for each segment of
+the deepest path (what lies deeper than ``DEPTH`` is one more segment, whole, so
+no branch is left out): path segments of a variable
 shape (numbers, hexadecimal names, dates) become wildcards; level by level, a
 node whose literal children are many and mostly unique becomes a wildcard too.
 Templates of a host that differ in literal segments only are branches: those
@@ -24,11 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..functions.text import let
+from .common import drop, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH, CHILDREN, WEIGHT, Z2 = 4, 16, 5.0, 3.84
+DEPTH, CHILDREN, WEIGHT, Z2 = 12, 16, 5.0, 3.84
+#: Between the segments of what lies deeper, which is one segment of the tree.
+DEEPER = "\x01"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,23 +52,25 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def shapes(path: Column) -> Column:
-    """Up to ``DEPTH`` segments, those of a variable shape as wildcards; deeper ones are summed up."""
+    """The segments, those of a variable shape as wildcards; what lies deeper than ``DEPTH`` is one more, whole."""
     kind = lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).when(s.rlike("^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), "{d}").when(s.rlike("^[0-9a-f-]{8,}$"), "{x}").otherwise(s)
     found = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.when(F.size(found) > DEPTH, F.concat(F.transform(F.slice(found, 1, DEPTH), kind), F.array(F.lit("**")))).otherwise(F.transform(found, kind))
+    of = F.transform(found, kind)
+    return let(of, lambda t: F.when(F.size(t) > DEPTH, F.concat(F.slice(t, 1, DEPTH), F.array(F.array_join(F.slice(t, F.lit(DEPTH + 1), F.size(t)), DEEPER)))).otherwise(t))
 
 
-def templates(seen: DataFrame) -> DataFrame:
-    """From (host, shape, n, labelled, bad), one row a shape: adds ``template``."""
+def templates(seen: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """From (host, shape, n, labelled, bad), one row a shape: adds ``template``; as many levels as the deepest shape has."""
     t = seen.select("host", "shape", "n", F.split("shape", "/").alias("s"), F.lit("").alias("template"))
-    for k in range(1, DEPTH + 2):
+    deepest = t.agg(F.max(F.size("s"))).first()[0] or 0
+    for k in range(1, deepest):
         t = t.withColumn("c", F.get("s", F.lit(k)))
         kids = t.where("c IS NOT NULL AND NOT (c LIKE '{%' OR c LIKE '*%')").groupBy("host", "template", "c").agg(F.sum("n").alias("n"))
         wide = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n")).where(f"kids > {CHILDREN} AND 2 * kids > n").select("host", "template", F.lit(True).alias("wide"))
         t = t.join(wide, ["host", "template"], "left")
         child = F.when(F.col("wide") & ~F.col("c").like("{%") & ~F.col("c").like("*%"), "*").otherwise(F.col("c"))
         # a level is read twice by the next one: written, the plan stays as large as one level
-        t = stored(t.select("host", "shape", "n", "s", F.when(F.col("c").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child)).alias("template")))
+        t = stored(t.select("host", "shape", "n", "s", F.when(F.col("c").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child)).alias("template")), keep)
     return t.select("host", "shape", "template")
 
 
@@ -71,9 +78,9 @@ def purity(good: Column, labelled: Column, prior: Column) -> Column:
     return (good + F.lit(WEIGHT) * prior) / (labelled + F.lit(WEIGHT))
 
 
-def template_verdicts(seen: DataFrame) -> DataFrame:
+def template_verdicts(seen: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(host, shape, verdict) from the counts of the shapes."""
-    of = templates(seen)
+    of = templates(seen, keep)
     sums = seen.join(of, ["host", "shape"]).groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("b"))
     sums = sums.withColumn("pool", F.regexp_replace("template", r"/[^/{*][^/]*", "/-"))
     everything = seen.agg(F.sum("labelled").alias("all_m"), F.sum("bad").alias("all_b")).select(F.when(F.col("all_m") > 0, (F.col("all_m") - F.col("all_b")) / F.col("all_m")).otherwise(F.lit(0.5)).alias("prior"))
@@ -100,7 +107,9 @@ def judge(pages: DataFrame, labels: DataFrame, key: Column, rules=RULES) -> Data
     base = base.select("page_id", "host", "path", "key", rule.alias("rule"), said.alias("said"), F.concat(F.lit("/"), F.array_join(shapes(F.col("path")), "/")).alias("shape"))
     marks = labels.where("key IS NOT NULL AND bad IS NOT NULL").groupBy("key").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     seen = base.join(marks, "key", "left").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    verdicts = stored(template_verdicts(stored(seen)))
+    keep: list[str] = []
+    verdicts = stored(template_verdicts(stored(seen, keep), keep))
+    drop(pages.sparkSession, keep)
     out = base.join(verdicts, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", "verdict").alias("verdict"))
 
@@ -124,10 +133,10 @@ def oracle() -> str:
     ]
     for k in range(1, DEPTH + 2):
         lit = "NOT (c LIKE '{%' OR c LIKE '*%')"
-        levels.append(f"c{k} AS (SELECT *, s[{k + 1}] AS c FROM l{k - 1})")
+        levels.append(f"c{k} AS MATERIALIZED (SELECT *, s[{k + 1}] AS c FROM l{k - 1})")
         levels.append(f"k{k} AS (SELECT host, template, c, sum(n) AS n FROM c{k} WHERE c IS NOT NULL AND {lit} GROUP BY ALL)")
-        levels.append(f"w{k} AS (SELECT host, template FROM k{k} GROUP BY host, template HAVING count(*) > {CHILDREN} AND 2 * count(*) > sum(n))")
-        levels.append(f"l{k} AS (SELECT c{k}.host, shape, n, s, CASE WHEN c IS NULL THEN c{k}.template ELSE c{k}.template || '/' || CASE WHEN w{k}.host IS NOT NULL AND {lit} THEN '*' ELSE c END END AS template FROM c{k} LEFT JOIN w{k} ON c{k}.host = w{k}.host AND c{k}.template = w{k}.template)")
+        levels.append(f"w{k} AS MATERIALIZED (SELECT host, template FROM k{k} GROUP BY host, template HAVING count(*) > {CHILDREN} AND 2 * count(*) > sum(n))")
+        levels.append(f"l{k} AS MATERIALIZED (SELECT c{k}.host, shape, n, s, CASE WHEN c IS NULL THEN c{k}.template ELSE c{k}.template || '/' || CASE WHEN w{k}.host IS NOT NULL AND {lit} THEN '*' ELSE c END END AS template FROM c{k} LEFT JOIN w{k} ON c{k}.host = w{k}.host AND c{k}.template = w{k}.template)")
     kind = r"CASE WHEN regexp_matches(s, '^[0-9]+(\.[a-z]+)?$') THEN regexp_replace(s, '^[0-9]+', '{n}') WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$') THEN '{d}' WHEN regexp_matches(s, '^[0-9a-f-]{8,}$') THEN '{x}' ELSE s END"
     purity_sql = f"((m - b) + {WEIGHT}::DOUBLE * prior) / (m + {WEIGHT}::DOUBLE)"
     return rf"""
@@ -136,7 +145,7 @@ WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^
   try_cast(nullif(regexp_extract(url, '{LAST_NUMBER}', 1), '') AS BIGINT) AS key FROM pages),
 v AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host, path, key, list_filter(string_split(path, '/'), lambda s: s <> '') AS f FROM u),
 w AS (SELECT page_id, host, path, key, CASE {chain} END AS hit,
-  '/' || array_to_string(CASE WHEN len(f) > {DEPTH} THEN list_append(list_transform(f[1:{DEPTH}], lambda s: {kind}), '**') ELSE list_transform(f, lambda s: {kind}) END, '/') AS shape FROM v),
+  '/' || array_to_string(CASE WHEN len(f) > {DEPTH} THEN list_append(list_transform(f[1:{DEPTH}], lambda s: {kind}), array_to_string(list_transform(f[{DEPTH + 1}:], lambda s: {kind}), chr(1))) ELSE list_transform(f, lambda s: {kind}) END, '/') AS shape FROM v),
 marks AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
 seen AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM w LEFT JOIN marks USING (key) GROUP BY host, shape),
 {", ".join(levels)},

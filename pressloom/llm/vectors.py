@@ -39,14 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, drop, forest, stored
+from .common import block_pairs, components, drop, forest, pairs, stored, whole_groups
 
 THRESHOLD, SEED, BITS, BLOCK, PLANES = 0.98, 11, 16, 2048, 8
 #: Room for rounding in what must not be missed.
 EPS = 1e-9
-#: Pairs that are compared at once.
-PAIRS = 1 << 17
-
 
 @lru_cache(8)
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -137,46 +134,6 @@ def home(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return (bits @ (1 << np.arange(BITS, dtype=np.int64))) | (t << BITS)
 
 
-def whole_groups(batches):
-    """Tables that hold all rows of each of their groups, from batches in order of ``group``."""
-    held: list[pa.Table] = []
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if not t.num_rows:
-            continue
-        group = t.column("group").to_numpy()
-        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
-        if held and group[0] != held[-1].column("group")[-1].as_py():
-            yield pa.concat_tables(held)
-            held = []
-        if cut:
-            yield pa.concat_tables([*held, t.slice(0, cut)])
-            held = []
-        held.append(t.slice(cut))
-    if held:
-        yield pa.concat_tables(held)
-
-
-def pairs(group: np.ndarray, side: np.ndarray):
-    """Index pairs that meet: within a group, from both sides or within a block that meets itself; some ``PAIRS`` at a time."""
-    at, k, lefts, rights, n = np.arange(len(group)), 0, [], [], 0
-    while True:
-        k += 1
-        at = at[at + k < len(group)]
-        at = at[group[at + k] == group[at]]
-        if not len(at):
-            break
-        ok = at[(side[at] == 2) | (side[at] != side[at + k])]
-        lefts.append(ok)
-        rights.append(ok + k)
-        n += len(ok)
-        if n >= PAIRS:
-            yield np.concatenate(lefts), np.concatenate(rights)
-            lefts, rights, n = [], [], 0
-    if n:
-        yield np.concatenate(lefts), np.concatenate(rights)
-
-
 def rows_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     """A column of equally long binary values or lists as a matrix."""
     c = column.combine_chunks()

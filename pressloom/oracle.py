@@ -99,6 +99,14 @@ _labels = {
     "gender_violence": [t for t in LEXICON.terms("direct_terms.high_precision") if plain(t) in K.GENDER_LABELS],
     "gendered_description": [t for t in LEXICON.terms("direct_terms.high_precision") if plain(t) in K.DESCRIPTIONS],
 }
+_terms = ", ".join(f"({q(g)}, {q(t)}, {q(f'(^|{EDGE})(?:{re.escape(plain(t))})($|{EDGE})')})" for g, ts in LEXICON.groups.items() for t in sorted(set(ts)))
+_order = " ".join(f"WHEN '{name}' THEN {k}" for k, (name, *_) in enumerate(COMBOS))
+_why = """CASE WHEN way = 'female_to_male' THEN ['reverse_direction_female_aggressor_male_victim'] WHEN sexual AND at_her THEN ['sexual_violence_against_female_with_clear_direction'] WHEN sexual AND way = 'probable_male_to_female' THEN ['sexual_violence_against_female_probable_direction']
+  WHEN (strong OR gone) AND at_her AND (partner OR prior) THEN [CASE WHEN partner THEN 'female_victim_event_plus_intimate_partner' END, CASE WHEN prior THEN 'female_victim_event_plus_prior_violence_or_control' END]
+  WHEN (strong OR gone) AND prior AND way <> 'possible_male_victim' THEN ['female_event_plus_prior_violence_or_control'] WHEN strong AND aggressor AND (at_her OR way = 'probable_male_to_female') THEN ['female_victim_event_plus_supported_male_aggressor']
+  WHEN crime AND partner AND at_her THEN ['female_victim_generic_crime_plus_intimate_partner'] WHEN gone AND (partner OR prior) THEN ['female_disappearance_plus_contextual_relation']
+  WHEN strong OR gone OR ambiguous THEN ['female_event_without_sufficient_gender_context', CASE WHEN partner THEN 'intimate_partner_term_without_clear_direction' END, CASE WHEN family THEN 'family_or_close_relation_not_used_as_decisive_evidence' END, CASE WHEN aggressor THEN 'male_aggressor_term_without_clear_direction' END]
+  ELSE [] END"""
 _case = "retrieval_bucket LIKE 'case\\_%' ESCAPE '\\'"
 _named = "explicit_label_type IN ('femicide_feminicide', 'gender_violence')"
 _close = "contextual_evidence_level IN ('high', 'medium')"
@@ -129,6 +137,9 @@ CHAIN = {
     "cv": """SELECT *, CASE WHEN accident AND raw > 0 AND NOT prior THEN 1 ELSE raw END AS level FROM (SELECT *, CASE WHEN way = 'female_to_male' THEN 0 WHEN sexual AND at_her THEN 3 WHEN sexual AND way = 'probable_male_to_female' THEN 2
   WHEN (strong OR gone) AND at_her AND (partner OR prior) THEN 3 WHEN (strong OR gone) AND prior AND way <> 'possible_male_victim' THEN 3 WHEN strong AND aggressor AND (at_her OR way = 'probable_male_to_female') THEN 2
   WHEN crime AND partner AND at_her THEN 2 WHEN gone AND (partner OR prior) THEN 2 WHEN strong OR gone OR ambiguous THEN 1 ELSE 0 END AS raw FROM cw WHERE female OR (role AND (strong OR gone OR prior)))""",
+    "mt": f"SELECT doc_id, g, t FROM tx, (VALUES {_terms}) AS l(g, t, p) WHERE regexp_matches(n, p)",
+    "mw": f"SELECT doc_id, wid, string_agg(g || ':' || t, ',' ORDER BY g || ':' || t) AS matches FROM wn, (VALUES {_terms}) AS l(g, t, p) WHERE regexp_matches(n, p) GROUP BY doc_id, wid",
+    "ce": f"SELECT *, list_sort(list_filter(list_append({_why}, CASE WHEN accident AND raw > 0 THEN 'possible_accident_or_disaster_context' END), lambda x: x IS NOT NULL)) AS why, row_number() OVER (PARTITION BY doc_id ORDER BY level DESC, wid) - 1 AS place FROM cv",
     "cb": "SELECT doc_id, max(level) AS best FROM cv GROUP BY doc_id",
     "cd": """SELECT cv.doc_id, best, array_to_string(list_sort(list_distinct(list(way) FILTER (WHERE way <> 'unknown'))), ',') AS ways,
   array_to_string(list_filter([CASE WHEN bool_or(gone) THEN 'disappearance' END, CASE WHEN bool_or(violent) THEN 'lethal_or_suspicious_death' END, CASE WHEN bool_or(injured) THEN 'physical_violence_or_method' END, CASE WHEN bool_or(prior) THEN 'prior_violence_or_control' END, CASE WHEN bool_or(sexual) THEN 'sexual_violence' END], lambda x: x IS NOT NULL), ',') AS types
@@ -151,7 +162,9 @@ CHAIN = {
     "fk": f"""SELECT * EXCLUDE (an), CASE WHEN url_key <> '' THEN url_key ELSE 'fallback|' || source || '|' || archive_year || '|' || title END AS article_key, CASE WHEN violence_direction = 'female_to_male' THEN 'female_aggressor_male_victim' WHEN {hit('an', P.CLEAR_TO_MAN)} THEN 'possible_female_aggressor_male_victim'
   WHEN {hit('an', P.CLEAR_TO_WOMAN)} THEN 'possible_female_aggressor_female_victim' WHEN {hit('an', P.POSSIBLY_HER)} THEN 'possible_female_aggressor' ELSE '' END AS auto_scope_reason FROM fc""",
     "fd": "SELECT fk.*, coalesce(de.manual_scope_decision, '') AS manual_scope_decision, CASE WHEN auto_scope_reason = '' THEN 'no_alert' ELSE 'alert' END AS auto_scope_status FROM fk LEFT JOIN de ON fk.article_key = de.article_key",
-    "hp": f"SELECT *, regexp_matches(lower(title || ' ' || coalesce(anchor_text, '')), '{sampling.HARD}') AS hard FROM un WHERE provisional_case_status = 'not_selected' AND retrieval_bucket = 'not_candidate'",
+    "cr": "SELECT ce.doc_id, array_to_string(list_sort(list_distinct(flatten(list(why) FILTER (WHERE level = best)))), ',') AS at_best, array_to_string(list_sort(list_distinct(flatten(list(why)))), ',') AS at_all FROM ce JOIN cb ON ce.doc_id = cb.doc_id GROUP BY ce.doc_id",
+    "hs": f"SELECT DISTINCT doc_id FROM mt WHERE regexp_matches(lower(g || ' ' || t), '{sampling.HARD}') UNION SELECT doc_id FROM cr WHERE regexp_matches(at_best, '{sampling.HARD}')",
+    "hp": f"SELECT *, regexp_matches(lower(title || ' ' || coalesce(anchor_text, '') || ' ' || reasons), '{sampling.HARD}') OR doc_id IN (SELECT doc_id FROM hs) AS hard FROM un WHERE provisional_case_status = 'not_selected' AND retrieval_bucket = 'not_candidate'",
     "hn": "SELECT * FROM hp WHERE hard OR NOT (SELECT bool_or(hard) FROM hp)",
     "po": "SELECT validation_group, archive_year, country, source, doc_id FROM (SELECT un.*, CASE provisional_case_status " + " ".join(f"WHEN '{s}' THEN '{g}'" for g, s in sampling.STATUS.items()) + " END AS validation_group FROM un) WHERE validation_group IS NOT NULL UNION ALL SELECT 'hard_negative', archive_year, country, source, doc_id FROM hn",
     "cn": fixtures.plain(fixtures.CANDIDATES),
@@ -222,6 +235,14 @@ PLACE = "archive_year, country, source"
 _wide = lambda key, column, values: f"SELECT {key}, " + ", ".join(f"count_if({column} = '{v}') AS {v}" for v in values) + " FROM {} GROUP BY {}"
 
 QUERIES = {
+    "matched_terms": "SELECT doc_id, g AS matched_group, string_agg(t, ',' ORDER BY t) AS terms FROM mt GROUP BY doc_id, g",
+    "proximity_evidence": f"""SELECT p.doc_id, p.place, p.wid::BIGINT AS window_id, md5(substr(w, 1, 500)) AS text_md5, matches FROM (SELECT doc_id, wid, row_number() OVER (PARTITION BY doc_id ORDER BY CASE rule {_order} END, wid) - 1 AS place FROM ev) AS p
+  JOIN wn ON p.doc_id = wn.doc_id AND p.wid = wn.wid JOIN mw ON p.doc_id = mw.doc_id AND p.wid = mw.wid WHERE place < {R.EVIDENCE}""",
+    "contextual_evidence": f"""SELECT sn.doc_id, ce.place, CASE level WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS level, array_to_string(why, ',') AS reasons, way AS direction,
+  array_to_string(list_filter([CASE WHEN gone THEN 'disappearance' END, CASE WHEN violent THEN 'lethal_or_suspicious_death' END, CASE WHEN injured THEN 'physical_violence_or_method' END, CASE WHEN prior THEN 'prior_violence_or_control' END, CASE WHEN sexual THEN 'sexual_violence' END], lambda x: x IS NOT NULL), ',') AS types,
+  md5(substr(w, 1, 500)) AS text_md5, matches FROM ce JOIN sn ON ce.doc_id = sn.doc_id JOIN wn ON ce.doc_id = wn.doc_id AND ce.wid = wn.wid JOIN mw ON ce.doc_id = mw.doc_id AND ce.wid = mw.wid WHERE place < {K.MOST_EVIDENCE}""",
+    "contextual_reasons": f"""SELECT sn.doc_id, coalesce(at_best, '') AS reasons, coalesce(at_all, '') AS all_reasons, coalesce(label_terms, '') AS label_terms FROM sn LEFT JOIN cr ON sn.doc_id = cr.doc_id
+  LEFT JOIN (SELECT mt.doc_id, string_agg(t, ',' ORDER BY t) AS label_terms FROM mt JOIN sn ON mt.doc_id = sn.doc_id WHERE g = 'direct_terms.high_precision' AND CASE explicit_label_type {" ".join(f"WHEN '{k}' THEN t IN ({', '.join(map(q, v)) or 'NULL'})" for k, v in _labels.items())} ELSE false END GROUP BY mt.doc_id) AS lt ON sn.doc_id = lt.doc_id""",
     "normalize_text": f"SELECT doc_id, md5({norm('text')}) AS norm_md5 FROM art",
     "clean_text": f"SELECT doc_id, title AS title_clean, md5(text) AS text_md5, length(text) AS n FROM cl",
     "sentence_windows": "SELECT doc_id, count(*) AS n_windows, sum(length(w))::BIGINT AS n_chars, max(wid)::BIGINT AS last_id FROM wa GROUP BY doc_id".replace("wa", windows("tx") + " wa"),

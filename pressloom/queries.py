@@ -54,6 +54,22 @@ def unique(spark: SparkSession, d: str) -> DataFrame:
     return stages.contextual_unique(snapshots(spark, d), order=[F.col("doc_id")])
 
 
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots with their matched terms and evidence, as a run writes them."""
+    both = stages.classify(articles(spark, d), LEXICON, keep_match=True)
+    return stages.contextual_snapshots(both, LEXICON, START, END, "doc_id")
+
+
+def unique_shown(spark: SparkSession, d: str) -> DataFrame:
+    return stages.contextual_unique(shown(spark, d), order=[F.col("doc_id")])
+
+
+def flat(matches: str | Column) -> Column:
+    """``group:term`` of a map of terms, in order."""
+    each = F.transform(F.map_entries(matches), lambda e: F.transform(e["value"], lambda t: F.concat(e["key"], F.lit(":"), t)))
+    return F.array_join(F.array_sort(F.flatten(each)), ",")
+
+
 def news(spark: SparkSession, d: str) -> DataFrame:
     return stages.unique_news(classified(spark, d), START, END, "doc_id", [F.col("doc_id")])
 
@@ -149,9 +165,32 @@ def male_victim_flag(spark, d):
     return each.groupBy("doc_id").agg(F.count_if(retrieval.male_victim(F.substring("w", 1, 500))).alias("n_male"), F.count(F.lit(1)).alias("n_windows"))
 
 
+@query
+def matched_terms(spark, d):
+    each = stages.classify(articles(spark, d), LEXICON).select("doc_id", F.explode("matched_terms").alias("matched_group", "t"))
+    return each.select("doc_id", "matched_group", joined("t").alias("terms"))
+
+
+@query
+def proximity_evidence(spark, d):
+    each = stages.classify(articles(spark, d), LEXICON).select("doc_id", F.posexplode("proximity_evidence").alias("place", "e"))
+    return each.select("doc_id", F.col("place").cast("long").alias("place"), F.col("e.window_id").cast("long").alias("window_id"), F.md5(F.encode("e.window_text", "UTF-8")).alias("text_md5"), flat("e.matches").alias("matches"))
+
+
 # ---- contextual -------------------------------------------------------------
 
 
+@query
+def contextual_evidence(spark, d):
+    each = shown(spark, d).select("doc_id", F.posexplode("contextual_evidence").alias("place", "e"))
+    return each.select("doc_id", F.col("place").cast("long").alias("place"), F.col("e.level").alias("level"), joined("e.reasons").alias("reasons"), F.col("e.direction").alias("direction"), joined("e.violence_types").alias("types"), F.md5(F.encode("e.window_text", "UTF-8")).alias("text_md5"), flat("e.matches").alias("matches"))
+
+
+@query
+def contextual_reasons(spark, d):
+    return shown(spark, d).select("doc_id", joined("contextual_reasons").alias("reasons"), joined("contextual_all_reasons").alias("all_reasons"), joined("explicit_label_terms").alias("label_terms"))
+
+
 @query
 def explicit_label(spark, d):
     df = stages.classify(articles(spark, d), LEXICON, show_terms=False, keep_match=True)
@@ -324,22 +363,19 @@ def exclusion_summary(spark, d):
 
 # ---- validation -------------------------------------------------------------
 
-SIGNALS_OFF = ("match_reasons_json", "contextual_reasons_json", "matched_terms_json")
-
-
 @query
 def hard_negative_pool(spark, d):
-    return sampling.hard_negatives(unique(spark, d).drop(*SIGNALS_OFF, "title_clean")).select("doc_id", "_article_key")
+    return sampling.hard_negatives(unique_shown(spark, d)).select("doc_id", "_article_key")
 
 
 def _pilot(spark, d):
-    df = unique(spark, d).drop(*SIGNALS_OFF, "title_clean")
+    df = unique_shown(spark, d)
     return sampling.pilot(df, key=["doc_id"])
 
 
 @query
 def sample_counts(spark, d):
-    return sampling.distribution(sampling.draw(unique(spark, d).drop(*SIGNALS_OFF, "title_clean"), key=["doc_id"]))
+    return sampling.distribution(sampling.draw(unique_shown(spark, d), key=["doc_id"]))
 
 
 @query

@@ -65,14 +65,46 @@ def save(df: DataFrame, parquet_path: str, csv_path: str | None = None) -> None:
         write_csv(parquet(df.sparkSession, parquet_path), csv_path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Overwrites a table that ``df`` itself may read: a new version beside it, then a swap."""
-    spark = df.sparkSession
-    new = f"{path}.new"
-    df.write.mode("overwrite").parquet(new)
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(new), p(path)):
-        raise OSError(f"could not rename {new}")
+    return p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _rename(fs, p, old: str, new: str) -> None:
+    if not fs.rename(p(old), p(new)):
+        raise OSError(f"could not rename {old} to {new}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put a table back that a ``replace`` had set aside when it stopped; drop the rest of one that came through."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p(f"{path}.old")):
+        if fs.exists(p(path)):
+            fs.delete(p(f"{path}.old"), True)
+        else:
+            _rename(fs, p, f"{path}.old", path)
+
+
+def replace(df: DataFrame, path: str, mark: str | None = None) -> None:
+    """Overwrites a table that ``df`` itself may read: a new version beside it, then a swap.
+
+    The old version is only set aside, so wherever this stops, ``recover``, which
+    comes first the next time, finds a whole table. ``mark`` names an empty file
+    that comes and goes with this version (``marked``).
+    """
+    spark = df.sparkSession
+    fs, p = _fs(spark, path)
+    recover(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if mark:
+        fs.create(p(f"{path}.new/_{mark}"), True).close()
+    if fs.exists(p(path)):
+        _rename(fs, p, path, f"{path}.old")
+    _rename(fs, p, f"{path}.new", path)
+    fs.delete(p(f"{path}.old"), True)
     spark.catalog.refreshByPath(path)
+
+
+def marked(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether the table's version carries a mark."""
+    return exists(spark, f"{path}/_{mark}")

@@ -6,6 +6,8 @@ a folder is read. With ``available_now`` it takes what is there and stops.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,11 +38,19 @@ def bucket_counts(stream: DataFrame, delay: str = "1 day", width: str = "30 days
 
 
 def merge_unique(stream: DataFrame, path: str, checkpoint: str, unique) -> StreamingQuery:
-    """Keeps a table of unique articles up to date: ``unique`` (rows to one row a key) over old and new rows of each batch."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    """Keeps a table of unique articles up to date: ``unique`` (rows to one row a key) over old and new rows of each batch.
+
+    The table's version names the batch it came from, so a batch that is
+    replayed after a failure changes nothing.
+    """
+    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, mark = batch.sparkSession, f"{stream_name}-{number}"
+        tables.recover(spark, path)
+        if tables.marked(spark, path, mark):
+            return
         both = batch if not tables.exists(spark, path) else tables.parquet(spark, path).unionByName(batch, allowMissingColumns=True)
-        tables.replace(unique(both), path)
+        tables.replace(unique(both), path, mark)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ from pressloom.llm import common, substrings, vectors
 from pressloom.llm import simhash as S
 
 # so that sizes set by a test reach the workers
-for module in (substrings, vectors):
+for module in (common, substrings, vectors):
     cloudpickle.register_pickle_by_value(module)
 
 RNG = random.Random(5)
@@ -248,7 +248,7 @@ def linked_by_force(rows, threshold=0.98):
 @pytest.mark.parametrize("sizes", [{}, {"BLOCK": 5, "PAIRS": 7}])
 def test_vectors_match_brute_force(spark, monkeypatch, sizes):
     for k, v in sizes.items():
-        monkeypatch.setattr(vectors, k, v)
+        monkeypatch.setattr(common if k == "PAIRS" else vectors, k, v)
     rows = vector_rows()
     links = [(rows[i][0], rows[j][0]) for i, j in linked_by_force(rows)]
     root, degree = groups([r[0] for r in rows], links), {r[0]: 0 for r in rows}

@@ -1,6 +1,7 @@
 """Windows, sources, a whole run over captured answers, the stream and the entry module."""
 
 import json
+import shutil
 import sys
 from pathlib import Path
 
@@ -187,11 +188,35 @@ def test_stream_merges_and_counts(spark, run, tmp_path):
     for check in "ab":  # a second stream brings the same rows again
         ingest.merge_unique(stream, f"{tmp_path}/unique", f"{tmp_path}/{check}", once).awaitTermination()
     assert sorted(r.title for r in tables.parquet(spark, f"{tmp_path}/unique").collect()) == ["Crimen", "Fiesta"]
+    before = tables.parquet(spark, f"{tmp_path}/unique").inputFiles()
+    shutil.rmtree(f"{tmp_path}/b/commits")  # the last batch comes again, as after a failure
+    ingest.merge_unique(stream, f"{tmp_path}/unique", f"{tmp_path}/b", once).awaitTermination()
+    assert tables.parquet(spark, f"{tmp_path}/unique").inputFiles() == before
     counted = ingest.bucket_counts(stream).writeStream.format("memory").queryName("buckets").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert sum(r.n for r in spark.table("buckets").collect()) == 2
 
 
+def test_replacement_survives_a_stop(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for n in (1, 2):
+        tables.replace(spark.range(n), path, f"v{n}")
+    assert tables.parquet(spark, path).count() == 2 and tables.marked(spark, path, "v2") and not tables.marked(spark, path, "v1")
+    Path(path).rename(f"{path}.old")  # stopped between the two renames
+    tables.recover(spark, path)
+    assert tables.parquet(spark, path).count() == 2 and not Path(f"{path}.old").exists()
+    tables.replace(tables.parquet(spark, path).union(spark.range(1)), path)
+    assert tables.parquet(spark, path).count() == 3
+
+
+def test_entry_without_the_llm_part(monkeypatch):
+    import __spark_entry__ as e
+
+    real = e.importlib.import_module
+    monkeypatch.setattr(e.importlib, "import_module", lambda name: (_ for _ in ()).throw(ImportError(name)) if name.startswith("pressloom.llm") else real(name))
+    assert len(e.queries()) > 60 and not any(n.startswith("op") for n in e.queries()) and "pipeline" not in e.queries()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
