@@ -70,8 +70,6 @@ class Page:
             if m[0] == "<!--":
                 end = markup.find("-->", m.end())
                 at = size if end < 0 else end + 3
-                if not head:
-                    parts.append(" ")
                 continue
             at = self.tag_end(markup, m.end(), gone)
             if at < 0:
@@ -81,8 +79,6 @@ class Page:
             if name in DROPPED and not closing:
                 end = _CLOSE[name].search(markup, at)
                 at = end.end() if end else size
-                if not head:
-                    parts.append(" ")
             elif name == "title" and not closing:
                 end = _CLOSE["title"].search(markup, at)
                 inner, at = markup[at : end.start() if end else size], end.end() if end else size
@@ -92,7 +88,6 @@ class Page:
                     parts.append(inner)
             elif name == "head":
                 head = not closing
-                parts.append(" ")
             elif name == "body":
                 head = False
             elif name in BREAKING and not head:
