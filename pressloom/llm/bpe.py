@@ -8,8 +8,8 @@ which every border holds is the encoding of its bytes (merges go by rank, each
 token is the merge of two of lower rank, so a first wrong merge would have to
 cross some border, and would be made by that border's two tokens alone as well),
 so the tokens outside of the window are final. Over a text the matches are
-encoded separately, hence neighbours are joined as they are, two by two up a
-tree. Decoding concatenates neighbours two by two up a tree as well.
+encoded separately, hence neighbours are joined as they are, level by level up a
+tree. Decoding concatenates neighbours up a tree as well.
 
 The reduction is the only encoder: no library encodes here. What a word encodes
 to is remembered, as a join's windows are, in caches of bounded size.
@@ -42,8 +42,8 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 REMEMBERED, LONGEST = 500_000, 200
 #: Bytes of a half that is remembered.
 SHORT = 8
-#: Texts that are encoded together.
-BATCH = 16
+#: Texts that are encoded together, and neighbours that are concatenated at once.
+BATCH, FAN = 16, 32
 
 
 def same_blanks(pattern: str) -> str:
@@ -52,11 +52,10 @@ def same_blanks(pattern: str) -> str:
 
 
 def concatenated(parts: list[bytes]) -> bytes:
-    """The parts joined two by two, level by level."""
-    while len(parts) > 1:
-        last = parts[len(parts) & ~1 :]
-        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + last
-    return parts[0] if parts else b""
+    """The parts joined level by level, ``FAN`` neighbours a node."""
+    while len(parts) > FAN:
+        parts = [b"".join(parts[k : k + FAN]) for k in range(0, len(parts), FAN)]
+    return b"".join(parts)
 
 
 class Encoder:
@@ -139,7 +138,15 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         if self.plain and word[:1] == " " and word[1:].isalpha():  # one match
             return array("I", self.encode_piece(word.encode())).tobytes()
-        return concatenated([array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes() for piece in self.find(word)])
+        return concatenated([self._match(piece) for piece in self.find(word)])
+
+    def _match(self, piece: str) -> bytes:
+        """A match by itself, which a word may be as well."""
+        if (ids := self.known.get(piece)) is None:
+            ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(piece) <= LONGEST:
+                self.known[piece] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, unsigned 32-bit.
@@ -148,14 +155,18 @@ class Encoder:
         space except as its first character, so a text falls apart before such
         spaces and the parts are encoded, and remembered, by themselves.
         """
-        known, older, out = self.known, self.older, []
-        for w in words_of(text):
-            if (ids := known.get(w)) is None:
-                if (ids := older.get(w)) is None:
-                    ids = self._word(w)
-                if len(w) <= LONGEST:
-                    known[w] = ids
-            out.append(ids)
+        known, older, words = self.known, self.older, words_of(text)
+        out = list(map(known.get, words))
+        if None in out:
+            for k, w in enumerate(words):
+                if out[k] is not None:
+                    continue
+                if (ids := known.get(w)) is None:  # it may be the second of its kind here
+                    if (ids := older.get(w)) is None:
+                        ids = self._word(w)
+                    if len(w) <= LONGEST:
+                        known[w] = ids
+                out[k] = ids
         if len(known) >= REMEMBERED:
             self.older, self.known = known, {}
         return np.frombuffer(concatenated(out), np.uint32)
