@@ -39,7 +39,7 @@ from .common import words_of
 #: White space to a tokeniser's regular expressions; this library's own also counts four separators.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words that a worker remembers in each of two generations (a full one replaces the older), and their longest.
-REMEMBERED, LONGEST = 500_000, 200
+REMEMBERED, LONGEST = 200_000, 200
 #: Bytes of a half that is remembered.
 SHORT = 8
 #: Texts that are encoded together, and neighbours that are concatenated at once.
