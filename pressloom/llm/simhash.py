@@ -14,13 +14,12 @@ return a spanning forest, never pairs.
 ``similar_groups`` links texts whose sets of shingles have a Jaccard similarity
 of 0.8 or more, which is far beyond two bits. Candidates come from fingerprints
 of 256 bits that differ in no more than all but some 3 in 100,000 pairs at the
-similarity sought do (``widest``). Their first bits are cut into ``STRIPES``
-stripes with covering masks each: a stripe of ``d`` dimensions has ``2^d - 1``
-tables and misses no pair with less than ``d`` differing bits in it, so no pair
-with less than ``d * STRIPES`` in all. ``d`` is three, and more for corpora of
-which three would fill the buckets; whatever it is, pairs at the similarity
-sought share a table with 97 % or more (``tests`` measure it), closer ones with
-more. Candidates only say which texts are compared: within what they connect,
+similarity sought do (``widest``), among texts that share one of ``BANDS`` keys,
+each made of the least of the shingles in ``DEPTH`` orders. A pair of similarity
+``s`` shares a key in ``1 - (1 - s^DEPTH)^BANDS`` of cases, 99.93 % at 0.8 and
+more above (``tests`` measure it); texts without a common shingle share none, so
+buckets grow with the copies of a text and not with the corpus, whatever its
+size. Candidates only say which texts are compared: within what they connect,
 pairs with fingerprints that near are decided by the shingle sets themselves,
 nearest first, block by block, and only what reaches the similarity links. Texts
 are sent only to blocks in which they have such a pair.
@@ -46,7 +45,10 @@ from .common import block_pairs, components, drop, forest, pairs, runs, stored,
 WORDS, SEED, RADIUS = 3, 42, 2
 #: The wide fingerprint's 64-bit parts, its stripes, rows of a block of fingerprints, and of one of texts.
 LANES, STRIPES, ROWS, TEXTS = 4, 7, 4096, 512
+#: Keys of a set of shingles, the orders that each takes the least of, and rows of a bucket up to which all pairs are taken at once.
+BANDS, DEPTH, FEW = 24, 6, 64
 _ODD = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+_ORDERS = np.random.default_rng(17).integers(0, 2**63, (BANDS * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 1 << 18
 
 
@@ -138,19 +140,43 @@ def close(t: pa.Table, columns: list[str], most: int):
         yield i[near], j[near]
 
 
-def bucket_links(dealt: DataFrame, bucket: list[str], node: str, columns: list[str], most: int) -> DataFrame:
-    """Links (a, b) that join what is close within the buckets: a spanning forest for each block pair."""
+def spanned(t: pa.Table, columns: list[str], most: int):
+    """(i, j) of pairs as of ``close`` that join what all of them join; rows that are joined are not compared again."""
+    group, side = t.column("group").to_numpy(), t.column("side").to_numpy()
+    wide = np.stack([t.column(c).to_numpy() for c in columns], 1).view(np.uint64)
+    cuts = runs(group)
+    large = np.diff(cuts) > FEW
+    few = np.flatnonzero(np.repeat(~large, np.diff(cuts)))
+    for i, j in close(t.take(pa.array(few)), columns, most):
+        yield few[i], few[j]
+    for a, b in zip(cuts[:-1][large].tolist(), cuts[1:][large].tolist()):
+        of, codes, sides = np.arange(b - a), wide[a:b], side[a:b]
+        for k in range(b - a):
+            others = np.flatnonzero((of != of[k]) & ((sides == 2) | (sides != sides[k])))
+            near = others[np.bitwise_count(codes[others] ^ codes[k]).sum(1, dtype=np.int64) <= most]
+            if len(near):
+                joined, first = np.unique(of[near], return_index=True)
+                of[np.isin(of, joined)] = of[k]
+                yield np.full(len(first), a + k), a + near[first]
+                if (of == of[0]).all():
+                    break
+
+
+def bucket_links(dealt: DataFrame, bucket: list[str], node: str, columns: list[str], most: int, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join what is close within the buckets: a spanning forest for each block pair; ``known`` has the node and columns of what is dealt, if ``dealt`` hasn't."""
 
     def run(batches):
         for t in whole_groups(batches):
             nodes, found = t.column("node").to_numpy(), []
-            for i, j in close(t, columns, most):
+            for i, j in spanned(t, columns, most):
                 found += forest(i, j, t.num_rows)
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             links = np.array(forest(a, b, t.num_rows), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["a", "b"])
 
-    met = block_pairs(dealt, bucket, node, ROWS).select("group", "side", F.col(node).alias("node"), *[F.col(c) for c in columns if c != "node"])
+    met = block_pairs(dealt, bucket, node, ROWS)
+    met = met.withColumn("node", F.col(node)) if known is None else met.join(known, node)
+    met = met.select("group", "side", "node", *[c for c in columns if c != "node"])
     return by_group(met).mapInArrow(run, "a long, b long")
 
 
@@ -186,13 +212,20 @@ def widest(similarity: float) -> int:
     return int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def dimensions(n: int) -> int:
-    """Dimensions of a stripe for n fingerprints: three, and one more for each 2.7 bits beyond 2^22, so that buckets stay small."""
-    return 3 + max(0, math.ceil((math.log2(max(1, n)) - 22) / 2.7))
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of a set of shingles: sets of a Jaccard similarity s share each with a chance of s to the power ``DEPTH``."""
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 512):
+        least = np.minimum(least, (_ORDERS * h[at : at + 512]).min(1))
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, DEPTH))], np.uint64)
 
 
 def stripe_keys(wide: np.ndarray, d: int) -> np.ndarray:
-    """The keys of fingerprints (rows) in all tables: the bits of each stripe under each of its masks."""
+    """The keys of fingerprints (rows) in tables that miss no pair with less than ``d * STRIPES`` differing bits: the bits of each stripe under each of its masks.
+
+    ``similar_groups`` does not deal by them: there are few keys, so the pairs in
+    their buckets grow with the square of the corpus.
+    """
     width = min(64 * LANES // STRIPES, round(6.25 * d))
     bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
     places = 1 << np.arange(width, dtype=np.int64)
@@ -246,18 +279,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             w = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, LANES).view(np.int64)
             s = np.array([set_digest(h) for h in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)], *[pa.array(s[:, k]) for k in range(2)]], ["doc_id", *lanes, *digest])
+            keys = np.array([band_keys(h) for h in sets], np.uint64).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(w[:, k]) for k in range(LANES)], *[pa.array(s[:, k]) for k in range(2)], keys], ["doc_id", *lanes, *digest, "keys"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wide = stored(texts.mapInArrow(prints, f"doc_id long, {of}, s0 long, s1 long"), keep)
-    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*digest, *lanes).agg(F.min("doc_id").alias("node")), keep)
-    d = dimensions(known.count())
-
-    def keys(batches):
-        for b in batches:
-            x = np.stack([b.column(k + 1).to_numpy() for k in range(LANES)], 1).view(np.uint64)
-            k = stripe_keys(x, d)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.int64()))], ["node", *lanes, "keys"])
+    wide = stored(texts.mapInArrow(prints, f"doc_id long, {of}, s0 long, s1 long, keys array<long>"), keep)
+    known = stored(wide.where("doc_id IS NOT NULL").groupBy(*digest, *lanes).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), keep)
 
     def open_ones(batches):
         for t in whole_groups(batches):
@@ -273,8 +301,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 links = similar_links(t.slice(a, b - a), words, similarity, most)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in links], pa.int64()) for k in range(2)], ["a", "b"])
 
-    dealt = known.select("node", *lanes).mapInArrow(keys, f"node long, {of}, keys array<long>").select("node", *lanes, F.posexplode("keys").alias("t", "key"))
-    likely = components(bucket_links(dealt, ["t", "key"], "node", lanes, most))
+    dealt = known.select("s0", F.explode("keys").alias("key"))
+    known = known.drop("keys")
+    likely = components(bucket_links(dealt, ["key"], "s0", lanes, most, known.select("s0", "node", *lanes)))
     names = ["group", "side", "node", *digest, *lanes]
     met = block_pairs(known.join(likely, "node"), ["root"], "node", TEXTS).select(*names)
     met = stored(by_group(met).mapInArrow(open_ones, f"group long, side int, node long, s0 long, s1 long, {of}"), keep)

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import groups, simhash, without_repeats
 from pyspark import cloudpickle
@@ -113,6 +114,44 @@ def test_similar_groups_hold_no_pair_below_the_similarity(spark):
     assert sum(out[i] != expected[i] for i in out) <= 0.02 * len(out)
 
 
+def test_buckets_do_not_fill_with_the_corpus(spark):
+    """Texts without a common shingle meet in no bucket, however many there are; before, the pairs grew with their square."""
+    sets = [np.random.default_rng(k).integers(0, 2**64, 40, np.uint64) for k in range(20_000)]
+    keys = np.concatenate([S.band_keys(h) for h in sets])
+    assert len(np.unique(keys)) == len(keys) == 20_000 * S.BANDS
+
+
+@pytest.mark.parametrize("n", [5, 40, 1500])
+def test_keys_are_shared_at_the_similarity(n):
+    rng, lost = np.random.default_rng(n), 0
+    for _ in range(1000):
+        h = rng.integers(0, 2**64, n, np.uint64)
+        k = -(-4 * n // 5)
+        half = (n - k) // 2
+        lost += not (S.band_keys(np.sort(h[: k + half])) == S.band_keys(np.sort(np.append(h[:k], h[k + half :])))).any()
+    assert lost <= 5
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_spanned_pairs_join_what_all_pairs_join(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    rng = np.random.default_rng(2)
+    fps = np.repeat(rng.integers(0, 2**64, 40, np.uint64), 15) ^ (np.uint64(1) << rng.integers(0, 64, 600, np.uint64))
+    t = pa.table({"group": np.sort(rng.integers(0, 6, 600)), "side": rng.integers(0, 2, 600) + 2 * (np.arange(600) > 300), "fp": rng.permutation(fps).view(np.int64)})
+    t = t.set_column(1, "side", pa.array(np.minimum(t.column("side").to_numpy(), 2)))
+    joined = [groups(range(600), [(a, b) for i, j in of(t, ["fp"], 2) for a, b in zip(i.tolist(), j.tolist())]) for of in (S.close, S.spanned)]
+    assert joined[0] == joined[1] and len(set(joined[0].values())) < 500
+
+
+def test_texts_of_one_repeated_id(spark):
+    """Texts that share a doc_id are dealt by what they hold, so they don't multiply in the buckets."""
+    rng = random.Random(13)
+    base = [prose(80, rng) for _ in range(150)]
+    rows = [(1, t) for t in base] + [(2 + k, edited(t, 1, rng)) for k, t in enumerate(base[:40])]
+    out = S.similar_groups(table(spark, rows)).collect()
+    assert len(out) == len(rows) and sum(r.component_id == 1 for r in out) >= 188
+
+
 def test_similar_groups_of_odd_rows(spark):
     rows = [(3, None), (1, ""), (2, " "), (5, "one"), (4, "one"), (None, "one"), (None, None), (4, "one two")]
     out = sorted(((r.doc_id, r.component_id) for r in S.similar_groups(table(spark, rows)).collect()), key=str)
