@@ -342,6 +342,38 @@ def test_stripes_and_estimates_never_lose_a_pair():
     assert vectors.possible(both, 64, i, apart[i], 0.98)[apart != i].mean() < 0.01, "unlike pairs are told by bits alone"
 
 
+def test_vectors_are_sent_once_for_each_block(spark, monkeypatch):
+    """Before, each vector was dealt to some 126 buckets, whatever it met there."""
+    x, y = planted(1500)
+    sent, judge = [], vectors.undecided
+    monkeypatch.setattr(vectors, "undecided", lambda met, threshold: sent.append(met.count()) or judge(met, threshold))
+    df = spark.createDataFrame([(k, r, 1) for k, r in enumerate(np.vstack((x, y)).tolist())], "vec_id long, embedding array<double>, label int")
+    assert vectors.near_components(df).where("n_links >= 1").count() == 3000 and sent == [3000]
+
+
+@pytest.mark.parametrize("tile", [(3, 4), (7, 2), (1000, 1000)])
+def test_tiles_hold_every_pair_once(monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
+    group = np.array([1] * 11 + [2] * 9)
+    side = np.array([2] * 11 + [0, 1, 1, 0, 1, 0, 1, 1, 1])
+    found = [tuple(sorted((i, j))) for rows, columns, alone in vectors.tiles(group, side) for i in rows.tolist() for j in columns.tolist() if not alone or i < j]
+    assert sorted(found) == [(i, j) for i in range(20) for j in range(i + 1, 20) if group[i] == group[j] and (side[i] == 2 or side[i] != side[j])]
+
+
+@pytest.mark.parametrize("tile", [(5, 9), (64, 32)])
+def test_small_tiles_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rows = vector_rows()
+    links = [(rows[i][0], rows[j][0]) for i, j in linked_by_force(rows)]
+    root, degree = groups([r[0] for r in rows], links), {r[0]: 0 for r in rows}
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    out = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert out == {i: (degree[i], root[i]) for i in degree}
+
+
 def test_twenty_thousand_planted_vectors(spark):
     x, y = planted(10_000)
     rows = np.vstack((x, y))
