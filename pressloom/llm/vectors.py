@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import PAIRS, block_pairs, components, drop, runs, stored, whole_groups
 
@@ -144,7 +145,7 @@ def rows_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     c = column.combine_chunks()
     if pa.types.is_binary(c.type):
         return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), -1)
-    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    return c.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(c), -1)
 
 
 def by_length(column: pa.Array):
@@ -152,7 +153,7 @@ def by_length(column: pa.Array):
     lengths = np.array([len(v) for v in column], np.int64)
     for d in np.unique(lengths).tolist():
         where = np.flatnonzero(lengths == d)
-        yield where, column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).reshape(len(where), d)
+        yield where, column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(where), d)
 
 
 CODED = "node long, code binary, factor double, planes binary, low double, step double, head binary"
@@ -258,29 +259,33 @@ def exact(met: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(distinct: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(node, other, n) over distinct vectors (node long, label, m long, v array<double>)."""
-    known = stored(coded(distinct), keep)
+    """(node, other, n) over distinct vectors (node long, label, m long, v array<float> or array<double>)."""
+    paths: list[str] = []
+    known = stored(coded(distinct), paths)
     met = block_pairs(distinct.select("node", "label", F.size("v").alias("d")), ["label", "d"], "node", BLOCK).select("group", "side", "node", "d")
     parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     sorted_by = lambda df: df.repartition(parts, "group").sortWithinPartitions("group")
     open_ones = stored(undecided(sorted_by(met.join(known, "node")), threshold), keep)
+    drop(known.sparkSession, paths)
     return exact(sorted_by(open_ones.join(distinct.select("node", F.size("v").alias("d"), "m", "v"), "node")), threshold)
 
 
 def near_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
     keep: list[str] = []
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    kind = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True) else "double"  # floats travel as such, cosines are double
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.col("label").cast("string").alias("label"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda a: a != 0), F.lit(False))
-    rows = rows.select("vec_id", "label", F.when(sound, F.transform("v", lambda a: a + F.lit(0.0))).alias("v"))
+    rows = rows.select("vec_id", "label", F.when(sound, F.transform("v", lambda a: a + F.lit(0.0).cast(kind))).alias("v"))
     same = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"))
     same = stored(same.withColumn("node", F.monotonically_increasing_id()), keep)  # written, so a node keeps its number
     found = stored(links(same, keep, threshold), keep)
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
-    joined = same.join(linked, "node", "left").join(roots, "node", "left").select("label", "v", "least", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    joined = same.select("node", "least", "m").join(linked, "node", "left").join(roots, "node", "left").select("node", "least", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    joined = joined.where("n_links > 0")  # the others are components by themselves
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(least, "root").select("label", "v", "n_links", "component_id")
+    of = same.select("node", "label", "v").join(joined.join(least, "root"), "node").select("label", "v", "n_links", "component_id")
     out = rows.join(of, ["label", "v"], "left")
     out = stored(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
     drop(rows.sparkSession, keep)
