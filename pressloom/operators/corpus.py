@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.text import let
 from .articles import decision_key, existing
+from .matching import shows
 
 # Statuses of each corpus, decisions that may be given, columns of the pending list.
 MAIN = ("candidate_explicit_case", "candidate_contextual_high")
@@ -30,9 +30,9 @@ def scope_reason(direction: Column, norm: Column) -> Column:
     """Why a row is outside of the scope perhaps; empty without an alert."""
     return (
         F.when(X.strip(X.blank(direction)) == "female_to_male", "female_aggressor_male_victim")
-        .when(norm.rlike(P.CLEAR_TO_MAN), "possible_female_aggressor_male_victim")
-        .when(norm.rlike(P.CLEAR_TO_WOMAN), "possible_female_aggressor_female_victim")
-        .when(norm.rlike(P.POSSIBLY_HER), "possible_female_aggressor")
+        .when(shows(norm, "clearly her against him"), "possible_female_aggressor_male_victim")
+        .when(shows(norm, "clearly her against her"), "possible_female_aggressor_female_victim")
+        .when(shows(norm, "possibly her"), "possible_female_aggressor")
         .otherwise("")
     )
 
