@@ -155,7 +155,7 @@ def test_findings_and_windows_random(spark, data):
         assert [(w["window_id"], w["window_text"], sorted(w["terms"]), w["head"]) for w in row["windows"]] == expected
 
 
-@pytest.mark.parametrize("name", ["matched_terms", "proximity_evidence", "contextual_evidence", "male_victim_flag", "lexicon_match_window", "violence_direction"])
+@pytest.mark.parametrize("name", ["matched_terms", "proximity_evidence", "contextual_evidence", "male_victim_flag", "lexicon_match_window", "violence_direction", "sentence_windows"])
 def test_sentences_are_made_once(spark, name):
     """No filter on what is made of the sentences, given or inferred, is put below it with all of it once more."""
     if not Path("/root/testdata/sf0.001").exists():
