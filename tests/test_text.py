@@ -162,3 +162,15 @@ def test_sentences_are_made_once(spark, name):
         pytest.skip("no tables")
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<=[.?!]") == 1
+
+
+def test_one_row_group_is_many_tasks(spark, tmp_path):
+    """A file of one row group, which a single task reads, is classified by many."""
+    rows = [(k, "La mujer fue asesinada.", "es", "web") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for make in (queries.cleaned, queries.classified, queries.snapshots, queries.shown):
+            assert make(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
